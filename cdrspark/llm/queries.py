@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from cdrspark.llm.bpe import op9_bpe_numpy_rounds
+from cdrspark.llm.mix import op1_mix_hypergeometric
 from cdrspark.llm.warc import OP6_SQL, op6_warc_content_addressed
 
-QUERIES = {f.__name__: f for f in (op6_warc_content_addressed, op9_bpe_numpy_rounds)}
+QUERIES = {f.__name__: f for f in (op1_mix_hypergeometric, op6_warc_content_addressed, op9_bpe_numpy_rounds)}
 
 ORACLE_SQL = {"op6_warc_content_addressed": OP6_SQL}
