@@ -53,8 +53,11 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most `most` bytes of a text or binary column (or one longer row)."""
+    """The batch in pieces of at most `most` bytes of a text or binary column (or one longer row); of other columns, whole."""
     values = batch.column(column)
+    if not (pa.types.is_string(values.type) or pa.types.is_binary(values.type)):
+        yield batch
+        return
     ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64) if len(values) else np.zeros(1, np.int64)
     at = 0
     while at < len(values):
