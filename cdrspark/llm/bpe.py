@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -27,7 +28,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 CHUNKS = regex.compile(f"[^{SPACE}]+")
 #: The longest run of characters that is remembered, and how many runs are.
-REMEMBERED_CHARS, REMEMBERED = 64, 200_000
+REMEMBERED_CHARS, REMEMBERED = 64, 300_000
 
 
 def byte_letters() -> list[str]:
@@ -48,6 +49,7 @@ class WordEndBpe:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.id_text = {i: str(i) for i in [*vocab.values(), *self.special.values()]}
         self.token_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE))
         self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -64,19 +66,21 @@ class WordEndBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.joined = keys[order], order.astype(np.int64), joined
         self.none = len(keys)
-        self.known: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
+        self.ids_of: dict[str, str] = {}
+        self.tokens_of: dict[str, str] = {}
 
     # -- merging --------------------------------------------------------------------------
 
-    def _pair_ranks(self, symbols: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The rank of the pair that starts at each symbol, `none` where there is none."""
-        ranks = np.full(len(symbols), self.none, np.int64)
-        if len(symbols) > 1:
-            key = symbols[:-1] << 32 | symbols[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            ok = (self.keys[at] == key) & (word[:-1] == word[1:])
-            ranks[:-1][ok] = self.ranks[at[ok]]
+    def _ranks_at(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of the pair that starts at each of these places, `none` where there is none."""
+        ranks = np.full(len(at), self.none, np.int64)
+        inner = np.flatnonzero(at < len(symbols) - 1)
+        inner = inner[word[at[inner]] == word[at[inner] + 1]]
+        key = symbols[at[inner]] << 32 | symbols[at[inner] + 1]
+        place = np.searchsorted(self.keys, key)
+        place[place == len(self.keys)] = 0
+        found = self.keys[place] == key
+        ranks[inner[found]] = self.ranks[place[found]]
         return ranks
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
@@ -90,8 +94,8 @@ class WordEndBpe:
         symbols = self.byte_id[flat]
         ends = np.cumsum(size) - 1
         symbols[ends] = self.last_id[flat[ends]]
+        ranks = self._ranks_at(symbols, word, np.arange(len(symbols)))
         while len(symbols):
-            ranks = self._pair_ranks(symbols, word)
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lowest = np.minimum.reduceat(ranks, start)
             length = np.diff(np.r_[start, len(word)])
@@ -101,46 +105,62 @@ class WordEndBpe:
                     out[word[s]] = symbols[s : s + n]
                 keep = np.repeat(~done, length)
                 symbols, word, ranks = symbols[keep], word[keep], ranks[keep]
-                if not len(symbols):
-                    break
                 lowest, length = lowest[~done], length[~done]
             low = np.repeat(lowest, length)
-            hit = ranks == low
             # Of a run of overlapping occurrences (as in "aaaa") every second one merges, from its left end.
-            at = np.flatnonzero(hit)
-            run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+            at = np.flatnonzero(ranks == low)
+            run = np.flatnonzero(np.r_[True, np.diff(at) != 1][: len(at)])
             nth = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
             at = at[nth % 2 == 0]
             symbols[at] = self.joined[low[at]]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            at = at - np.arange(len(at))
+            symbols, word, ranks = symbols[keep], word[keep], ranks[keep]
+            # Only pairs that start at a merged symbol or just before one have changed.
+            changed = np.unique(np.r_[at, np.maximum(at - 1, 0)])
+            ranks[changed] = self._ranks_at(symbols, word, changed)
         return out
 
     # -- texts ----------------------------------------------------------------------------
 
-    def _parts(self, chunk: str) -> list[int | bytes]:
-        """Special ids and words (as bytes) of a run of non-space characters."""
-        parts: list[int | bytes] = []
+    def _words(self, chunk: str) -> list[int | str]:
+        """Special ids and words of a run of non-space characters."""
+        if chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha() and low[-1] in ".,":
+                return [low[:-1], low[-1]]
+        parts: list[int | str] = []
         for piece in self.split_special.split(chunk) if self.split_special and "<|" in chunk else [chunk]:
             if piece in self.special:
                 parts.append(self.special[piece])
             elif piece:
                 piece = unicodedata.normalize("NFC", piece)
                 piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
-                parts += [w.encode("utf-8") for w in self.pattern.findall(piece)]
+                parts += self.pattern.findall(piece)
         return parts
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str, tuple[int, ...]]]:
-        """For each run: the number of its ids, they as text, their tokens as text, and they."""
-        parts = {c: self._parts(c) for c in chunks}
-        words = list({w for p in parts.values() for w in p if isinstance(w, bytes)})
-        ids = dict(zip(words, (x.tolist() for x in self.merge(words)), strict=True))
-        found = {}
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember these runs' ids and tokens, both as text with single spaces between."""
+        if len(self.ids_of) + len(chunks) > REMEMBERED:
+            self.ids_of.clear()
+            self.tokens_of.clear()
+        parts = {c: self._words(c) for c in chunks}
+        words = list({w for p in parts.values() for w in p if isinstance(w, str)})
+        merged = self.merge([w.encode("utf-8") for w in words])
+        as_text, as_tokens = {i: str(i) for i in self.special.values()}, {i: t for t, i in self.special.items()}
+        for w, x in zip(words, merged, strict=True):
+            own = x.tolist()
+            as_text[w] = self.id_text[own[0]] if len(own) == 1 else " ".join([self.id_text[i] for i in own])
+            as_tokens[w] = self.token_of[own[0]] if len(own) == 1 else " ".join([self.token_of[i] for i in own])
         for c, p in parts.items():
-            own = [i for w in p for i in ([w] if isinstance(w, int) else ids[w])]
-            found[c] = (len(own), " ".join(map(str, own)), self.decode(own), tuple(own))
-        return found
+            if len(p) == 1:
+                self.ids_of[c], self.tokens_of[c] = as_text[p[0]], as_tokens[p[0]]
+            else:
+                self.ids_of[c] = " ".join([as_text[w] for w in p])
+                self.tokens_of[c] = " ".join([as_tokens[w] for w in p])
 
     def decode(self, ids) -> str:
         """The tokens of the ids, special ones included, with single spaces between; unknown ids are left out."""
@@ -149,20 +169,30 @@ class WordEndBpe:
     def chunks(self, text: str) -> list[str]:
         return CHUNKS.findall(text) if NOT_SPACE.search(text) else text.split()
 
-    def encoded(self, texts: list[str | None]) -> list[list[tuple[int, str, str, tuple[int, ...]]]]:
-        """For each text the entries of learn() of its runs, in order."""
+    def encoded(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """For each text its ids and their tokens (the decoded text), both with single spaces between."""
         runs = [self.chunks(t) if t else [] for t in texts]
-        new = {c for r in runs for c in r if c not in self.known}
-        found = self.learn(new)
-        if len(self.known) + len(found) > REMEMBERED:
-            found |= {c: self.known[c] for r in runs for c in r if c in self.known}
-            self.known = {}
-        out = [[found[c] if c in found else self.known[c] for c in r] for r in runs]
-        self.known |= {c: v for c, v in found.items() if len(c) <= REMEMBERED_CHARS}
+        every = set().union(*runs)
+        if new := every - self.ids_of.keys():
+            kept = len(self.ids_of)
+            self._learn(new)
+            if len(self.ids_of) < kept + len(new):  # the memory was emptied first
+                self._learn(every - self.ids_of.keys())
+        ids, tokens = self.ids_of.__getitem__, self.tokens_of.__getitem__
+        out = [(" ".join(map(ids, r)), " ".join(map(tokens, r))) for r in runs]
+        for c in every:
+            if len(c) > REMEMBERED_CHARS:
+                del self.ids_of[c], self.tokens_of[c]
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for x in self.encoded([text])[0] for i in x[3]]
+        return [int(i) for i in self.encoded([text])[0][0].split()]
+
+
+@lru_cache(maxsize=1)
+def shared_bpe(text: str) -> WordEndBpe:
+    """One encoder for each vocabulary and Python worker, so that later tasks know what earlier ones met."""
+    return WordEndBpe(text)
 
 
 def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
@@ -176,19 +206,18 @@ def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Da
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_ids else {})
 
     def start():
-        bpe = WordEndBpe(sent.value)
+        bpe = shared_bpe(sent.value)
 
         def encode(texts: list[str | None]) -> dict[str, list]:
             rows = bpe.encoded(texts)
-            decoded = [" ".join([x[2] for x in r if x[0]]) for r in rows]
             out = {
-                "n_tokens": [sum(x[0] for x in r) for r in rows],
-                "ids_sha256": [hashlib.sha256(" ".join([x[1] for x in r if x[0]]).encode()).hexdigest() for r in rows],
-                "decoded_sha256": [hashlib.sha256(x.encode("utf-8")).hexdigest() for x in decoded],
+                "n_tokens": [ids.count(" ") + 1 if ids else 0 for ids, _ in rows],
+                "ids_sha256": [hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows],
+                "decoded_sha256": [hashlib.sha256(decoded.encode("utf-8")).hexdigest() for _, decoded in rows],
             }
             if with_ids:
-                out["ids"] = [[i for x in r for i in x[3]] for r in rows]
-                out["decoded"] = decoded
+                out["ids"] = [np.array(ids.split(), np.int32) for ids, _ in rows]
+                out["decoded"] = [decoded for _, decoded in rows]
             return out
 
         return encode
