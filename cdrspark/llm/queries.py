@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from cdrspark.llm.bpe import op9_bpe_numpy_rounds
+from cdrspark.llm.langid import op10_langid_bigru
 from cdrspark.llm.linededup import OP8_SQL, op8_line_site_spread
 from cdrspark.llm.media import op3_media_netpbm_bmp
 from cdrspark.llm.mix import op1_mix_hypergeometric
 from cdrspark.llm.quality import op4_quality_qda
 from cdrspark.llm.warc import OP6_SQL, op6_warc_content_addressed
 
-QUERIES = {f.__name__: f for f in (op1_mix_hypergeometric, op3_media_netpbm_bmp, op4_quality_qda, op6_warc_content_addressed, op8_line_site_spread, op9_bpe_numpy_rounds)}
+QUERIES = {f.__name__: f for f in (op1_mix_hypergeometric, op3_media_netpbm_bmp, op4_quality_qda, op6_warc_content_addressed, op8_line_site_spread, op9_bpe_numpy_rounds, op10_langid_bigru)}
 
 ORACLE_SQL = {"op6_warc_content_addressed": OP6_SQL, "op8_line_site_spread": OP8_SQL}
