@@ -28,7 +28,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 CHUNKS = regex.compile(f"[^{SPACE}]+")
 #: The longest run of characters that is remembered, and how many runs are.
-REMEMBERED_CHARS, REMEMBERED = 64, 300_000
+REMEMBERED_CHARS, REMEMBERED = 64, 500_000
 
 
 def byte_letters() -> list[str]:
@@ -144,14 +144,15 @@ class WordEndBpe:
 
     def _learn(self, chunks: set[str]) -> None:
         """Remember these runs' ids and tokens, both as text with single spaces between."""
-        if len(self.ids_of) + len(chunks) > REMEMBERED:
-            self.ids_of.clear()
-            self.tokens_of.clear()
         parts = {c: self._words(c) for c in chunks}
-        words = list({w for p in parts.values() for w in p if isinstance(w, str)})
-        merged = self.merge([w.encode("utf-8") for w in words])
-        as_text, as_tokens = {i: str(i) for i in self.special.values()}, {i: t for t, i in self.special.items()}
-        for w, x in zip(words, merged, strict=True):
+        every = {w for p in parts.values() for w in p if isinstance(w, str)}
+        # A word in lower case that was met as a run by itself has the same ids.
+        met = every & self.ids_of.keys()
+        met = {w for w in met if w.isascii() and w.isalpha() and w == w.lower()}
+        as_text = {i: str(i) for i in self.special.values()} | {w: self.ids_of[w] for w in met}
+        as_tokens = {i: t for t, i in self.special.items()} | {w: self.tokens_of[w] for w in met}
+        words = list(every - met)
+        for w, x in zip(words, self.merge([w.encode("utf-8") for w in words]), strict=True):
             own = x.tolist()
             as_text[w] = self.id_text[own[0]] if len(own) == 1 else " ".join([self.id_text[i] for i in own])
             as_tokens[w] = self.token_of[own[0]] if len(own) == 1 else " ".join([self.token_of[i] for i in own])
@@ -174,10 +175,11 @@ class WordEndBpe:
         runs = [self.chunks(t) if t else [] for t in texts]
         every = set().union(*runs)
         if new := every - self.ids_of.keys():
-            kept = len(self.ids_of)
+            if len(self.ids_of) + len(new) > REMEMBERED:  # keep what these texts use
+                old = every - new
+                self.ids_of = {c: self.ids_of[c] for c in old}
+                self.tokens_of = {c: self.tokens_of[c] for c in old}
             self._learn(new)
-            if len(self.ids_of) < kept + len(new):  # the memory was emptied first
-                self._learn(every - self.ids_of.keys())
         ids, tokens = self.ids_of.__getitem__, self.tokens_of.__getitem__
         out = [(" ".join(map(ids, r)), " ".join(map(tokens, r))) for r in runs]
         for c in every:
