@@ -1,0 +1,45 @@
+"""Connected components of a link table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cdrspark.llm.common import written
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Each node's neighbours are linked to the smallest among them and itself instead: those above it (large
+    star) or those below it and itself (small star)."""
+    if large:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        both = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = both.join(least, "u")
+    if large:
+        out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        own = least.select("u", F.col("m").alias("v"))
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
+    return out.filter(F.col("u") != F.col("v")).distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    h = F.xxhash64("u", "v")
+    row = links.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first()
+    return tuple(row)
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node and comp (the smallest node of its component) for every node of links (u, v; long), but those that are
+    the smallest of theirs. Rounds end when a round changes nothing; they grow with the logarithm of the nodes."""
+    links = written(links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter(F.col("u") != F.col("v")).distinct(), "links")
+    state = _state(links)
+    for _ in range(most_rounds):
+        links = written(_star(_star(links, True), False), "links")
+        new = _state(links)
+        if new == state:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        state = new
+    raise RuntimeError("components have not settled")
