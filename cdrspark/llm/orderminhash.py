@@ -207,9 +207,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, words: DataFrame, least: float
     return written(both.select("u", "v", "words_u", "words_v").mapInArrow(run, "u long, v long"), "omh-links")
 
 
-def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs without text, with uid (row number), node (of its words) and comp (of its class)."""
-    table = prepared(docs)
+def classes(table: DataFrame, least: float = 0.8) -> DataFrame:
+    """Of a prepared() table uid, doc_id and comp (the smallest uid that stands for different words in its class)."""
     words = table.select("uid", "words")
     best = F.min(F.struct("uid", "n", "sketches", "sig")).alias("r")
     nodes = written(table.groupBy("fp").agg(best).select("fp", "r.uid", "r.n", "r.sketches", "r.sig"), "omh-nodes")
@@ -250,17 +249,20 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
         comp = components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
 
     whole = nodes.select("fp", F.col("uid").alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = [c for c in table.columns if c not in ("n", "sketches", "sig", "words")]
-    return table.select(*[F.col(f"`{c}`") for c in rest]).join(whole, "fp").drop("fp")
+    return table.select("uid", "doc_id", "fp").join(whole, "fp").select("uid", "doc_id", "comp")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """docs without text, with class_id, class_size and stays (the first row of each class by doc_id, null last)."""
-    rows = classes(docs, least)
+    table = prepared(docs)
+    rows = classes(table, least)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("uid"))
     of = rows.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
     of = of.select("comp", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("first_uid"), "class_size")
-    return rows.join(of, "comp").withColumn("stays", F.col("uid") == F.col("first_uid")).drop("first_uid", "comp", "node", "uid")
+    told = rows.join(of, "comp").select("uid", "class_id", "class_size", (F.col("uid") == F.col("first_uid")).alias("stays"))
+    own = [c for c in table.columns if c not in ("uid", "fp", "n", "sketches", "sig", "words", "class_id", "class_size", "stays")]
+    # The only join that moves the other columns of docs.
+    return table.select("uid", *[F.col(f"`{c}`") for c in own]).join(told, "uid").drop("uid")
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
