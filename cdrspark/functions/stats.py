@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def log_factorial(n: np.ndarray) -> np.ndarray:
@@ -56,12 +57,12 @@ def hypergeometric_tail(a: int, draws: int, good: int, total: int) -> float:
     return _tail(term, a, highest)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_p(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(x, n, p, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hypergeometric_p(a: pd.Series, draws: pd.Series, good: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series([hypergeometric_tail(*map(int, t)) for t in zip(a, draws, good, total, strict=True)], dtype="float64")
 
@@ -110,7 +111,7 @@ def adjusted(df: DataFrame, p: str, method: str, into: str, tie: list[str | Colu
     elif method == "hochberg":
         value = F.least(F.lit(1.0), F.min(F.col(p) * left).over(behind))
     elif method == "hommel":
-        schema = df.schema.add(into, "double")
+        schema = T.StructType([*df.schema, T.StructField(into, T.DoubleType())])
         return df.sparkSession.createDataFrame((t := df.toPandas()).assign(**{into: hommel(t[p].to_numpy(np.float64))}), schema)
     else:
         raise ValueError(f"no such correction: {method}")

@@ -188,7 +188,7 @@ def paired_edges(contigs: DataFrame, max_dist: float = MAX_DISTANCE, length_diff
     names = ["ord_a", "id_a", "seq_a", "light_a", "ord_b", "id_b", "seq_b", "light_b"]
     near = _joined(a, b, once & (F.abs(F.length("light_a") - F.length("light_b")) <= length_diff), "seq_a", "seq_b", budget, "weighted", names)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def light_distance(x, y):
         import pandas as pd
 
