@@ -236,6 +236,8 @@ def plan(
     def shard_of(s: pd.Series, block: pd.Series, blocks: pd.Series, epoch: pd.Series) -> pd.Series:
         out = np.zeros(len(s), np.int32)
         for i in s.unique():
+            if not quotas[i]:  # when() evaluates UDFs for all rows
+                continue
             at = (s == i).to_numpy()
             unit = (epoch[at].to_numpy(np.int64) * blocks[at].to_numpy(np.int64) + block[at].to_numpy(np.int64)).astype(object)
             place = np.array([(int(u) * steps[i] + seed) % int(quotas[i]) for u in unit], np.int64)
