@@ -129,3 +129,19 @@ def overview(result: Result) -> DataFrame:
 
 def top_clusters(clusters: DataFrame, top_n: int = 20) -> DataFrame:
     return clusters.select("cluster_id", "n_members", "n_clones", "n_samples", "cdr3h_consensus", "top_vh", "score").orderBy(F.desc("score"), "cluster_id").limit(top_n)
+
+
+def print_summary(result: Result, top_n: int = 20) -> DataFrame:
+    """Totals and the best clusters on the console; the cluster table."""
+    o = overview(result).first()
+    if not o["n_clusters"]:
+        print("No clusters found.")
+        return result.clusters
+    print(f"Total clusters:       {o['n_clusters']}")
+    print(f"Total cells assigned: {o['n_cells']}")
+    print(f"Cluster sizes:        {o['min_size']} to {o['max_size']} (median {o['median_size']})")
+    print(f"Multi-sample:         {o['n_multi_sample']} clusters")
+    if o["n_annotated"]:
+        print(f"Annotated:            {o['n_annotated']} clusters")
+    top_clusters(result.clusters, top_n).show(top_n, truncate=False)
+    return result.clusters
