@@ -35,6 +35,8 @@ from cdrspark.llm.common import mixed, written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents (about) in a block that is dealt, in the cell that is cut document by document; cells of a level.
 BLOCK_DOCS, CELL_DOCS, CELLS = 8, 4096, 1024
+#: Cut cells of so few documents and words are filled by the nearest subset of all.
+EXACT_DOCS, EXACT_WORDS = 64, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -144,6 +146,26 @@ def filled_up(size: np.ndarray, left: float, swaps: int = 16) -> np.ndarray:
         for x, state in ((inside[i], False), (outside[near[k, i]], True)):
             if x >= 0:
                 taken[x] = state
+    if abs(gap) >= 1 and len(size) <= EXACT_DOCS and size.sum() <= EXACT_WORDS:
+        taken = nearest_subset(size.tolist(), left)
+    return taken
+
+
+def nearest_subset(size: list[int], left: float) -> np.ndarray:
+    """The subset whose sum is nearest to `left` (of equal ones the smaller sum, earlier documents first), by the bits of all reachable sums."""
+    reach = [1]
+    for n in size:
+        reach.append(reach[-1] | reach[-1] << n)
+    sums, low = reach[-1], max(0, int(left))
+    below = (sums & ((1 << (low + 1)) - 1)).bit_length() - 1
+    above = sums >> (low + 1)
+    total = below
+    if above and (low + 1 + (above & -above).bit_length() - 1) - left < left - below:
+        total = low + (above & -above).bit_length()
+    taken = np.zeros(len(size), bool)
+    for i in range(len(size) - 1, -1, -1):
+        if not reach[i] >> total & 1:
+            taken[i], total = True, total - size[i]
     return taken
 
 

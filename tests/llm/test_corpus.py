@@ -34,9 +34,15 @@ def test_splitting_tree_keeps_quotas():
 
 
 def test_filled_up_comes_near():
-    size = np.array([5, 9, 2, 40, 7, 0, 3])
-    for left in (0.0, 1.0, 4.5, 23.0, 66.0, 70.0):
-        assert abs(size[mix.filled_up(size, left)].sum() - left) <= 2.5 or left >= 66
+    rng = random.Random(1)
+    for _ in range(200):
+        size = [rng.randrange(60) for _ in range(rng.randrange(1, 9))]
+        left = rng.uniform(0, sum(size) + 5)
+        best = min(abs(sum(c) - left) for k in range(len(size) + 1) for c in itertools.combinations(size, k))
+        assert abs(np.array(size)[mix.nearest_subset(size, left)].sum() - left) == pytest.approx(best)
+        assert abs(np.array(size)[mix.filled_up(np.array(size), left)].sum() - left) <= max(best, 1)
+    many = np.array([rng.randrange(1, 900) for _ in range(500)])
+    assert abs(many[mix.filled_up(many, 70_000.5)].sum() - 70_000.5) <= 2
 
 
 def test_plan(spark):
