@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,5 +29,47 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and a lost executor loses none of it."""
     path = shared_path(df.sparkSession, name)
+    for scope in _SCOPES:
+        scope.append(path)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+#: Lists of the paths that are written while a scope is open.
+_SCOPES: list[list[str]] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read again."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables written inside."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES[:] = [s for s in _SCOPES if s is not paths]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those given to the function that this yields."""
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.table_path)
+        return table
+
+    with recorded() as paths:
+        try:
+            yield keep
+        finally:
+            discard(spark, [p for p in paths if p not in kept])
