@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cdrspark.operators.tables import discard, recorded, scratch, shared_path, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) one made here."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cdrspark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["discard", "from_texts", "give_back", "id_remainder", "mixed", "recorded", "remembered", "scratch", "shared_path", "slices", "written"]
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and a lost executor loses none of it."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that Arrow moves at once at most: two workers and their executor hold a few such batches of long texts.
+BATCH_ROWS = 2000
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:
@@ -52,6 +38,28 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+#: What a Python worker remembers from task to task, by name.
+_MEMORY: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """One object for a name and Python worker, made when it is first asked for."""
+    if name not in _MEMORY:
+        _MEMORY[name] = make()
+    return _MEMORY[name]
+
+
+def give_back(memory: str = "") -> None:
+    """Forget what other operators remember, and give free memory back to the system: a worker lives through
+    many tasks of many stages, beside others in an executor."""
+    for name in [n for n in _MEMORY if n != memory]:
+        del _MEMORY[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most `most` bytes of a text or binary column (or one longer row); of other columns, whole."""
     values = batch.column(column)
@@ -66,10 +74,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         at = stop
 
 
-def from_texts(df: DataFrame, made: dict[str, str], start: Callable[[], Callable[[list], dict[str, list]]], column: str = "text", keep: bool = False) -> DataFrame:
+def from_texts(df: DataFrame, made: dict[str, str], start: Callable[[], Callable[[list], dict[str, list]]], column: str = "text", keep: bool = False, slice_bytes: int = 4_000_000, memory: str = "") -> DataFrame:
     """df with the columns `made` (name: type), which replace those of the same names, and without the
     text column unless `keep`. start() is called once a task and gives the function from a list of texts
-    to the lists of values. Other columns pass through as Arrow arrays and keep their exact values."""
+    to the lists of values; memory names what they remember. Other columns pass through as Arrow arrays and keep their exact values."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made])
     carried = [f for f in df.schema if keep or f.name != column]
     new = T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in made.items()))
@@ -77,9 +88,10 @@ def from_texts(df: DataFrame, made: dict[str, str], start: Callable[[], Callable
     names, kinds = [f.name for f in carried], [to_arrow_type(f.dataType) for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(memory)
         function = start()
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, slice_bytes):
                 out = function(piece.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in names] + [pa.array(out[f.name], k) for f, k in zip(new, kinds, strict=True)], names=schema.fieldNames())
 

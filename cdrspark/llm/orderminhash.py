@@ -8,12 +8,13 @@ sequences inside the band that the threshold allows; m aligned of a and b shingl
 m / (a + b - m), an ordered Jaccard similarity, and 0.8 makes a link. Classes are the components of links.
 
 With KEPT = 5 and SKETCHES = 28, a pair at exactly 0.8 shares no sketch with probability 2e-5, while one at 0.3
-shares one with 0.07.
+shares one with 0.07. Texts of at most 50 shingles have 12 sketches of 2 kept ones (2e-5 too).
 
 No bucket is paired with itself. Texts with equal words are one node. Of a bucket every member is verified against
-the smallest one, then against the one with most links; what is then still in several components
-is verified member by member, but never inside the bucket's main component. So every link
-between texts that share a sketch is inside a class, whatever the size of a group.
+the most central one, the others outside its component against the most central of them; what is then still in several
+components is verified member by member, but never inside the bucket's main component; in large buckets only pairs that
+can have enough shingles in common, found by their rare shingles. So every link between texts that share a sketch is
+inside a class, whatever the size of a group.
 
 Defined results: words are runs of letters, digits and underscores in lower case; a text of fewer than 5 words (not
 none) is one shingle; texts without a word (null, empty, only marks) are one class; class_id is the smallest doc_id of
@@ -26,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdrspark.llm.common import from_texts, mixed, written
-from cdrspark.llm.components import components
+from cdrspark.llm.common import from_texts, give_back, mixed, remembered, scratch, written
+from cdrspark.operators.graph import components
 
 SHINGLE, KEPT, SKETCHES = 5, 5, 28
+#: Short texts: fewer kept shingles, so that those of near copies can all be common ones.
+SHORT_KEPT, SHORT_SKETCHES, SHORT_TO, LONG_FROM = 2, 12, 50, 40
 #: A pair is verified only if so many of the SKETCHES smallest shingles agree; one at 0.8 fails with probability 1e-5.
 AGREEING = 11
+#: Members of a bucket, and nodes of a shingle, that are paired with each other without more conditions.
+LARGE = 64
 WORD = re.compile(r"\w+")
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _ODD = mixed(np.arange(SHINGLE + SKETCHES, dtype=np.uint64), 11) | np.uint64(1)
 
@@ -56,14 +60,9 @@ class _Words(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def _memory() -> _Words:
-    return _Words()
-
-
 def words_of(text: str | None) -> np.ndarray:
     words = WORD.findall((text or "").lower())
-    return np.fromiter(map(_memory().__getitem__, words), np.uint32, len(words))
+    return np.fromiter(map(remembered("words", _Words).__getitem__, words), np.uint32, len(words))
 
 
 def labelled(words: np.ndarray) -> np.ndarray:
@@ -87,28 +86,39 @@ def labelled(words: np.ndarray) -> np.ndarray:
     return s
 
 
+def _kept_in_order(h: np.ndarray, at: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """A hash of each row's chosen shingles in text order."""
+    chosen, total = h[np.sort(at, axis=1)], salts.astype(np.uint64)
+    for j in range(at.shape[1]):
+        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + chosen[:, j], 6)
+    return total
+
+
 def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sketches (signed 64 bits, none for no shingles), and a byte of the smallest shingle of each order."""
+    """The sketches (signed 64 bits, none for no shingles), and a byte of the smallest shingle of each order.
+
+    Texts of LONG_FROM shingles or more have SKETCHES long ones, of SHORT_TO or fewer SHORT_SKETCHES short ones; two
+    texts that differ by at most a fifth in size have a kind in common."""
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(SKETCHES, np.uint8)
-    kept = min(KEPT, len(h))
-    out, least = np.empty(SKETCHES, np.uint64), np.empty(SKETCHES, np.uint8)
+    least, out = np.empty(SKETCHES, np.uint8), []
     step = max(1, 400_000 // len(h))
     for lo in range(0, SKETCHES, step):
-        odd = _ODD[SHINGLE + lo : SHINGLE + min(SKETCHES, lo + step)]
+        number = np.arange(lo, min(SKETCHES, lo + step))
         with np.errstate(over="ignore"):
-            values = h * odd[:, None]
+            values = h * _ODD[SHINGLE + number][:, None]
             values ^= values >> np.uint64(32)
             values *= np.uint64(0xD6E8FEB86659FD93)
-            at = np.argpartition(values, kept - 1, axis=1)[:, :kept] if kept < len(h) else np.broadcast_to(np.arange(kept), (len(odd), kept))
-            best = np.take_along_axis(values, at, 1).argmin(axis=1)
-            least[lo : lo + len(odd)] = (h[np.take_along_axis(at, best[:, None], 1)[:, 0]] >> np.uint64(17)).astype(np.uint8)
-            chosen = h[np.sort(at, axis=1)]
-            total = np.arange(lo, lo + len(odd), dtype=np.uint64)
-            for j in range(kept):
-                total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + chosen[:, j], 6)
-        out[lo : lo + len(odd)] = total
-    return out.view(np.int64), least
+            kept = min(KEPT if len(h) >= LONG_FROM else SHORT_KEPT, len(h))
+            at = np.argpartition(values, kept - 1, axis=1)[:, :kept] if kept < len(h) else np.broadcast_to(np.arange(kept), (len(number), kept))
+            ranked = np.take_along_axis(at, np.argsort(np.take_along_axis(values, at, 1), axis=1), 1)
+            least[number] = (h[ranked[:, 0]] >> np.uint64(17)).astype(np.uint8)
+            if len(h) >= LONG_FROM:
+                out.append(_kept_in_order(h, ranked, number))
+            if len(h) <= SHORT_TO and lo < SHORT_SKETCHES:
+                few = number[number < SHORT_SKETCHES]
+                out.append(_kept_in_order(h, ranked[: len(few), :SHORT_KEPT], few + SKETCHES))
+    return np.concatenate(out).view(np.int64), least
 
 
 def longest_rise(values: np.ndarray) -> int:
@@ -144,8 +154,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return found if found >= least else 0.0
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """docs without text, with uid (a number for each row), fp (words' digest), n (shingles), sketches, sig (four longs with a byte
+def prepared(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """docs (without text unless keep), with uid (a number for each row), fp (words' digest), n (shingles), sketches, sig (four longs with a byte
     for each order's smallest shingle) and words (32-bit ids); written to the shared folder."""
 
     def start():
@@ -167,7 +177,7 @@ def prepared(docs: DataFrame) -> DataFrame:
 
     made = {"fp": "binary", "n": "int", "sketches": "array<long>", "sig": "array<long>", "words": "binary"}
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {*made, "uid"}])
-    return written(from_texts(own, made, start).withColumn("uid", F.monotonically_increasing_id()), "omh")
+    return written(from_texts(own, made, start, keep=keep, memory="words").withColumn("uid", F.monotonically_increasing_id()), "omh")
 
 
 def _agreeing(x: Column, y: Column) -> Column:
@@ -184,14 +194,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, words: DataFrame, least: float
     b = nodes.select(F.col("uid").alias("v"), F.col("n").alias("n_v"), F.col("sig").alias("sig_v"))
     near = pairs.join(a, "u").join(b, "v")
     agree = sum((_agreeing(F.col("sig_u")[i], F.col("sig_v")[i]) for i in range(4)), F.lit(SKETCHES - 32))
-    near = near.filter((F.least("n_u", "n_v") >= F.lit(least) * F.greatest("n_u", "n_v")) & (agree >= AGREEING))
+    near = near.filter(_sizes_fit("n_u", "n_v", least) & (agree >= AGREEING))
     near = written(near.select("u", "v"), "omh-pairs")
     # Only the texts that occur in pairs move, and once for both sides.
     used = near.select(F.col("u").alias("uid")).unionByName(near.select(F.col("v").alias("uid"))).distinct()
-    used = written(words.join(used, "uid", "left_semi"), "omh-words")
+    used = written(words.join(used.hint("merge"), "uid", "left_semi"), "omh-words")
     both = near.join(used.select(F.col("uid").alias("u"), F.col("words").alias("words_u")), "u").join(used.select(F.col("uid").alias("v"), F.col("words").alias("words_v")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             keep, known = [], (None, None)
             for i in range(batch.num_rows):
@@ -207,62 +218,125 @@ def _verified(pairs: DataFrame, nodes: DataFrame, words: DataFrame, least: float
     return written(both.select("u", "v", "words_u", "words_v").mapInArrow(run, "u long, v long"), "omh-links")
 
 
+def _shingles(uids: DataFrame, words: DataFrame) -> DataFrame:
+    """uid and h, a row for each labelled shingle of these nodes; written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = labelled(np.frombuffer(batch.column("words")[i].as_buffer(), np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), batch.column("uid")[i].as_py())), pa.array(h.view(np.int64))], names=["uid", "h"])
+
+    return written(words.join(uids.hint("merge"), "uid", "left_semi").select("uid", "words").mapInArrow(run, "uid long, h long"), "omh-shingles")
+
+
+def _in_large_buckets(held: DataFrame, info: DataFrame, words: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """What buckets of more than LARGE members need: the nodes' number of frequent shingles (uid, frequent), and
+    pairs (u, v) of different components that share enough rare ones.
+
+    Two texts share at most the smaller number of frequent shingles (those of more than LARGE nodes here). If a link
+    needs more than that, they share a rare shingle, and of those every node meets at most LARGE others."""
+    each = _shingles(held.select("uid").distinct(), words)
+    counts = written(each.groupBy("h").agg(F.count("*").alias("df"), F.min("uid").alias("uid")).filter(F.col("df") <= LARGE), "omh-rare")
+    single = counts.filter("df = 1").groupBy("uid").agg(F.count("*").alias("single"))
+    rare = written(each.join(counts.filter("df > 1").select("h"), "h"), "omh-rare")
+    several = rare.groupBy("uid").agg(F.count("*").alias("several"))
+    known = info.join(held.select("uid", "comp").distinct(), "uid").join(single, "uid", "left").join(several, "uid", "left")
+    known = known.withColumn("frequent", F.col("n") - F.coalesce("single", F.lit(0)) - F.coalesce("several", F.lit(0)))
+    known = written(known.select("uid", "comp", "n", "frequent"), "omh-known")
+    rare = rare.join(known, "uid")
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.uid") > F.col("y.uid")) & _sizes_fit("x.n", "y.n", least))
+    met = met.groupBy(F.col("x.uid").alias("u"), F.col("y.uid").alias("v")).agg(F.count("*").alias("shared"), F.first(F.col("x.n") + F.col("y.n")).alias("n"), F.first(F.least("x.frequent", "y.frequent")).alias("frequent"))
+    return known.select("uid", "frequent"), met.filter(F.col("shared") + F.col("frequent") >= F.lit(least / (1 + least)) * F.col("n")).select("u", "v")
+
+
+def _sizes_fit(a: str, b: str, least: float) -> Column:
+    return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
+
+
 def classes(table: DataFrame, least: float = 0.8) -> DataFrame:
-    """Of a prepared() table uid, doc_id and comp (the smallest uid that stands for different words in its class)."""
+    """Of a prepared() table uid and comp (the smallest uid that stands for different words in its class), as a table;
+    the working tables are deleted."""
+    with scratch(table.sparkSession) as keep:
+        return keep(written(_classes(table, least), "omh-classes"))
+
+
+def _classes(table: DataFrame, least: float) -> DataFrame:
     words = table.select("uid", "words")
     best = F.min(F.struct("uid", "n", "sketches", "sig")).alias("r")
     nodes = written(table.groupBy("fp").agg(best).select("fp", "r.uid", "r.n", "r.sketches", "r.sig"), "omh-nodes")
 
     each = nodes.select("uid", F.explode("sketches").alias("b"))
-    shared = each.groupBy("b").agg(F.count("*").alias("k"), F.min("uid").alias("head")).filter(F.col("k") > 1)
-    members = written(each.join(shared.select("b", "head"), "b"), "omh-buckets")
-
-    first = members.filter(F.col("uid") != F.col("head")).select(F.col("uid").alias("u"), F.col("head").alias("v")).distinct()
+    shared = each.groupBy("b").agg(F.count("*").alias("k")).filter(F.col("k") > 1)
+    members = written(each.join(shared, "b"), "omh-buckets")
+
+    # The only join that moves all words: to the nodes that share a sketch. Later ones move these nodes' words.
+    words = written(words.join(members.select("uid").distinct().hint("merge"), "uid", "left_semi"), "omh-words")
+
+    # An original shares more sketches with its copies than they do with each other, so it heads its buckets.
+    central = members.groupBy("uid").agg(F.sum("k").alias("central"))
+    members = written(members.drop("k").join(central, "uid"), "omh-central")
+    heads = members.groupBy("b").agg(F.max(F.struct("central", (-F.col("uid")).alias("minus"))).alias("t")).select("b", (-F.col("t.minus")).alias("head"))
+    first = members.join(heads, "b").filter(F.col("uid") != F.col("head"))
+    first = first.select(F.greatest("uid", "head").alias("u"), F.least("uid", "head").alias("v")).distinct()
     links = _verified(first, nodes, words, least)
-
-    # The member of each bucket with most links so far.
-    degree = links.select(F.col("u").alias("uid")).unionByName(links.select(F.col("v").alias("uid"))).groupBy("uid").agg(F.count("*").alias("d"))
-    ranked = members.drop("head").join(degree, "uid", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    top = ranked.groupBy("b").agg(F.max(F.struct("d", (-F.col("uid")).alias("minus"))).alias("t")).select("b", (-F.col("t.minus")).alias("hub"))
-    second = members.join(top, "b").filter((F.col("uid") != F.col("hub")) & (F.col("hub") != F.col("head")))
-    second = second.select(F.greatest("uid", "hub").alias("u"), F.least("uid", "hub").alias("v")).distinct()
-    second = second.join(first, ["u", "v"], "left_anti")
-    links = links.unionByName(_verified(second, nodes, words, least))
     comp = components(links)
 
-    # What is left: in buckets with several components, every member outside the hub's against all others.
-    held = members.drop("head").join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    # Then the most central one outside the head's component against all others there.
+    def labelled_members() -> DataFrame:
+        return members.join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+
+    held = labelled_members()
+    main = held.join(heads, "b").filter(F.col("uid") == F.col("head")).select("b", F.col("comp").alias("main")).distinct()
+    outside = written(held.join(main, "b").filter(F.col("comp") != F.col("main")).select("b", "uid", "central"), "omh-outside")
+    seconds = outside.groupBy("b").agg(F.max(F.struct("central", (-F.col("uid")).alias("minus"))).alias("t")).select("b", (-F.col("t.minus")).alias("head2"))
+    second = outside.join(seconds, "b").filter(F.col("uid") != F.col("head2"))
+    second = second.select(F.greatest("uid", "head2").alias("u"), F.least("uid", "head2").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    more = _verified(second, nodes, words, least)
+    if not more.isEmpty():
+        comp = components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
+
+    # What is left: in buckets with several components, every member outside the head's against all others.
+    held = labelled_members()
     mixed_up = held.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
-    held = written(held.join(mixed_up, "b", "left_semi").join(top, "b"), "omh-mixed")
-    main = held.filter(F.col("uid") == F.col("hub")).select("b", F.col("comp").alias("main")).distinct()
-    held = held.join(main, "b").select("b", "uid", "comp", (F.col("comp") == F.col("main")).alias("is_main"))
+    sizes = held.join(mixed_up, "b", "left_semi").groupBy("b").agg(F.count("*").alias("k"))
+    held = written(held.join(sizes, "b").join(heads, "b").select("b", "uid", "comp", "head", "k"), "omh-mixed")
+    main = held.filter(F.col("uid") == F.col("head")).select("b", F.col("comp").alias("main"))
     info = nodes.select("uid", "n", "sig")
-    held = written(held.join(info, "uid"), "omh-mixed")
+    frequent, by_rare = _in_large_buckets(held.filter(F.col("k") > LARGE), info, words, least)
+    held = held.join(main, "b").join(info, "uid").join(frequent, "uid", "left")
+    held = written(held.select("b", "uid", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "k", "n", "sig", "frequent"), "omh-mixed")
     x, y = held.filter(~F.col("is_main")).alias("x"), held.alias("y")
     once = F.col("y.is_main") | (F.col("x.uid") > F.col("y.uid"))
     agree = sum((_agreeing(F.col("x.sig")[i], F.col("y.sig")[i]) for i in range(4)), F.lit(SKETCHES - 32))
-    fits = (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")) & (agree >= AGREEING)
-    third = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.comp") != F.col("y.comp")) & once & fits)
-    third = third.select(F.greatest("x.uid", "y.uid").alias("u"), F.least("x.uid", "y.uid").alias("v")).distinct()
+    enough = (F.col("x.k") <= LARGE) | (F.least("x.frequent", "y.frequent") >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")))
+    third = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.comp") != F.col("y.comp")) & once & enough & _sizes_fit("x.n", "y.n", least) & (agree >= AGREEING))
+    third = third.select(F.greatest("x.uid", "y.uid").alias("u"), F.least("x.uid", "y.uid").alias("v")).unionByName(by_rare).distinct()
     more = _verified(third.join(first.unionByName(second), ["u", "v"], "left_anti"), nodes, words, least)
     if not more.isEmpty():
         comp = components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
 
     whole = nodes.select("fp", F.col("uid").alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return table.select("uid", "doc_id", "fp").join(whole, "fp").select("uid", "doc_id", "comp")
+    return table.select("uid", "fp").join(whole, "fp").select("uid", "comp")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs without text, with class_id, class_size and stays (the first row of each class by doc_id, null last)."""
-    table = prepared(docs)
-    rows = classes(table, least)
+def near_duplicates(docs: DataFrame, least: float = 0.8, keep: bool = False) -> DataFrame:
+    """docs (without text unless keep), with class_id, class_size and stays (the first row of each class by doc_id, null last)."""
+    names = [c for c in docs.columns if c not in ("class_id", "class_size", "stays") and (keep or c != "text")]
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    # Other columns travel in a struct, so none of their names can meet a working column's.
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("omh"), *[F.col(f"`{c}`") for c in rest]).alias("omh_rest"))
+    table = prepared(packed, keep)
+    rows = table.select("uid", "doc_id").join(classes(table, least), "uid")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("uid"))
     of = rows.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
     of = of.select("comp", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("first_uid"), "class_size")
     told = rows.join(of, "comp").select("uid", "class_id", "class_size", (F.col("uid") == F.col("first_uid")).alias("stays"))
-    own = [c for c in table.columns if c not in ("uid", "fp", "n", "sketches", "sig", "words", "class_id", "class_size", "stays")]
     # The only join that moves the other columns of docs.
-    return table.select("uid", *[F.col(f"`{c}`") for c in own]).join(told, "uid").drop("uid")
+    out = table.select("uid", "doc_id", *["text"] * keep, "omh_rest").join(told, "uid")
+    return out.select(*[F.col(f"omh_rest.`{c}`") if c in rest else F.col(c) for c in names], "class_id", "class_size", "stays")
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,8 +223,9 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, n, edits, large):
 
 
 def test_classes_of_odd_rows(spark):
-    docs = odd.table(spark).withColumn("uid", F.lit("clash")).withColumn("class_id", F.lit(1))
+    docs = odd.table(spark).withColumn("uid", F.lit("clash")).withColumn("words", F.lit("w")).withColumn("class_id", F.lit(1))
     rows = orderminhash.near_duplicates(docs, keep=True).collect()
+    assert {(r["uid"], r["words"]) for r in rows} == {("clash", "w")}
     assert len(rows) == len(odd.rows())
     assert sum(r["stays"] for r in rows) == near_brute([r[:2] for r in odd.rows()], count=True)
     assert Counter((r["doc_id"], r["class_id"]) for r in rows) == near_brute([r[:2] for r in odd.rows()])
