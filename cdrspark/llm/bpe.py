@@ -14,13 +14,12 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from cdrspark.llm.common import from_texts
+from cdrspark.llm.common import from_texts, remembered
 
 #: Code points with the White_Space property, which the vocabulary's patterns call \s (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,7 +27,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 CHUNKS = regex.compile(f"[^{SPACE}]+")
 #: The longest run of characters that is remembered, and how many runs are.
-REMEMBERED_CHARS, REMEMBERED = 64, 500_000
+REMEMBERED_CHARS, REMEMBERED = 64, 250_000
 
 
 def byte_letters() -> list[str]:
@@ -191,24 +190,20 @@ class WordEndBpe:
         return [int(i) for i in self.encoded([text])[0][0].split()]
 
 
-@lru_cache(maxsize=1)
-def shared_bpe(text: str) -> WordEndBpe:
-    """One encoder for each vocabulary and Python worker, so that later tasks know what earlier ones met."""
-    return WordEndBpe(text)
-
-
-def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
-    """docs' columns but text, plus n_tokens, ids_sha256, decoded_sha256 (and ids, decoded if with_ids).
+def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
+    """docs' columns but text, plus n_tokens, ids_sha256, decoded_sha256 (and ids and decoded if wanted).
 
     Columns of docs with the same names as these are replaced. The vocabulary file is read on the
     driver and sent to the executors (its size is fixed).
     """
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_ids else {})
+    memory = f"bpe {vocabulary}"
+    made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_decoded else {})
 
     def start():
-        bpe = shared_bpe(sent.value)
+        # Later tasks of a worker know what earlier ones met.
+        bpe = remembered(memory, lambda: WordEndBpe(sent.value))
 
         def encode(texts: list[str | None]) -> dict[str, list]:
             rows = bpe.encoded(texts)
@@ -219,12 +214,13 @@ def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Da
             }
             if with_ids:
                 out["ids"] = [np.array(ids.split(), np.int32) for ids, _ in rows]
+            if with_decoded:
                 out["decoded"] = [decoded for _, decoded in rows]
             return out
 
         return encode
 
-    return from_texts(docs, made, start)
+    return from_texts(docs, made, start, slice_bytes=2_000_000, memory=memory)
 
 
 def op9_bpe_numpy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
