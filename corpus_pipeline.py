@@ -6,16 +6,35 @@ again for the next one. All but the last return the columns of documents (doc_id
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdrspark.llm import bpe, langid, linededup, mix, orderminhash
-from cdrspark.llm.common import id_remainder, shared_path
+from cdrspark.llm.common import discard, id_remainder, recorded, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Tables in the shared folder that the last stage's result reads.
+_LAST: list[str] = []
+
+
+def _stage(function):
+    """A stage whose result has been written when the next one is called: then its working tables go."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _LAST)
+        with recorded() as made:
+            out = function(spark, docs, sf_dir)
+        _LAST[:] = made
+        return out
+
+    return run_stage
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or no letter) or with a probability below a third go; the others' lang becomes the predicted one."""
     net = langid.train(langid.sample(docs.filter(id_remainder(F.col("doc_id"), 3) != 1)))
@@ -24,6 +43,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+@_stage
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on ten sources or more go from all documents but the first; a document with nothing else goes."""
     cleaned = linededup.drop_lines(docs, linededup.boilerplate(docs))
@@ -31,19 +51,19 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, the first by doc_id."""
-    # The text travels beside the copy that the operator consumes, so no join brings it back.
-    both = docs.select(*COLUMNS, F.col("text").alias("kept_text"))
-    stays = orderminhash.near_duplicates(both).filter("stays")
-    return stays.withColumnRenamed("kept_text", "text").select(*COLUMNS)
+    return orderminhash.near_duplicates(docs.select(*COLUMNS), keep=True).filter("stays").select(*COLUMNS)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, in the order of its shard."""
     return mix.mix(docs).select(*COLUMNS)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and digests of them and of the decoded text."""
     encoded = bpe.encode_table(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
