@@ -26,8 +26,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: Those that str.split() takes for spaces and the vocabulary does not.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 CHUNKS = regex.compile(f"[^{SPACE}]+")
-#: The longest run of characters that is remembered, and how many runs are.
-REMEMBERED_CHARS, REMEMBERED = 64, 250_000
+#: The longest run of characters that is remembered, and how many runs are (about 400 bytes each, in every Python worker).
+REMEMBERED_CHARS, REMEMBERED = 64, 500_000
 
 
 def byte_letters() -> list[str]:
@@ -43,7 +43,8 @@ def byte_letters() -> list[str]:
 class WordEndBpe:
     """Encoder and decoder of one vocabulary file, given as text."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, remembered: int | None = None):
+        self.most = REMEMBERED if remembered is None else remembered
         spec = json.loads(text)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
@@ -174,7 +175,7 @@ class WordEndBpe:
         runs = [self.chunks(t) if t else [] for t in texts]
         every = set().union(*runs)
         if new := every - self.ids_of.keys():
-            if len(self.ids_of) + len(new) > REMEMBERED:  # keep what these texts use
+            if len(self.ids_of) + len(new) > self.most:  # keep what these texts use
                 old = every - new
                 self.ids_of = {c: self.ids_of[c] for c in old}
                 self.tokens_of = {c: self.tokens_of[c] for c in old}
@@ -190,7 +191,7 @@ class WordEndBpe:
         return [int(i) for i in self.encoded([text])[0][0].split()]
 
 
-def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
+def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False, with_decoded: bool = False, remembered_runs: int = REMEMBERED) -> DataFrame:
     """docs' columns but text, plus n_tokens, ids_sha256, decoded_sha256 (and ids and decoded if wanted).
 
     Columns of docs with the same names as these are replaced. The vocabulary file is read on the
@@ -198,12 +199,12 @@ def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False, with_
     """
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    memory = f"bpe {vocabulary}"
+    memory = f"bpe {remembered_runs} {vocabulary}"
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_decoded else {})
 
     def start():
         # Later tasks of a worker know what earlier ones met.
-        bpe = remembered(memory, lambda: WordEndBpe(sent.value))
+        bpe = remembered(memory, lambda: WordEndBpe(sent.value, remembered_runs))
 
         def encode(texts: list[str | None]) -> dict[str, list]:
             rows = bpe.encoded(texts)
