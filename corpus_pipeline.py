@@ -65,8 +65,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, their number, and digests of them and of the decoded text."""
-    encoded = bpe.encode_table(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    """Token ids of every document, their number, and digests of them and of the decoded text.
+
+    Executors that have run the other stages have less memory to spare, so fewer runs are remembered."""
+    texts = docs.select("doc_id", "source", "lang", "text")
+    encoded = bpe.encode_table(texts, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, remembered_runs=80_000)
     return encoded.select("doc_id", "source", "lang", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
