@@ -195,12 +195,19 @@ def train(rows: list[tuple[str, str]], hidden: int = 12, steps: int = 260, width
     return net
 
 
-def sample(docs: DataFrame, sample_docs: int = 300, sample_windows: int = 3) -> list[tuple[str, str]]:
-    """Windows of up to sample_docs documents of each language, the first by hash; places by hash too."""
-    size = F.length("text")
+def sample(docs: DataFrame, sample_docs: int = 300, sample_windows: int = 3, spare: int = 4) -> list[tuple[str, str]]:
+    """Windows of up to sample_docs documents of each language, the first by hash; places by hash too. Languages
+    are counted first, so that only about spare times as many documents of each are sorted."""
+    docs = docs.filter(F.col("lang").isNotNull())
+    counts = docs.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(spare * sample_docs)) / F.col("count")))
+    shares = {r["lang"]: r["share"] for r in counts.collect()}
+    if not shares:
+        return []
+    size, h = F.length("text"), F.xxhash64("doc_id", "text")
     at = lambda k: F.substring("text", F.lit(1) + F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(size - WINDOW, F.lit(1))).cast("int"), F.lit(WINDOW))
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.array(*[at(k) for k in range(sample_windows)]).alias("parts"))
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+    rows = docs.filter((F.pmod(h, F.lit(2**30)) < share * F.lit(2**30)) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", h.alias("h"), F.array(*[at(k) for k in range(sample_windows)]).alias("parts"))
     first = Window.partitionBy("lang").orderBy("h", "parts")
     picked = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_docs).collect()
     return sorted((p, r["lang"]) for r in picked for p in r["parts"] if p)
