@@ -249,7 +249,13 @@ def _in_large_buckets(held: DataFrame, info: DataFrame, words: DataFrame, least:
     x, y = rare.alias("x"), rare.alias("y")
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.uid") > F.col("y.uid")) & _sizes_fit("x.n", "y.n", least))
     met = met.groupBy(F.col("x.uid").alias("u"), F.col("y.uid").alias("v")).agg(F.count("*").alias("shared"), F.first(F.col("x.n") + F.col("y.n")).alias("n"), F.first(F.least("x.frequent", "y.frequent")).alias("frequent"))
-    return known.select("uid", "frequent"), met.filter(F.col("shared") + F.col("frequent") >= F.lit(least / (1 + least)) * F.col("n")).select("u", "v")
+    return known.select("uid", "frequent"), met.filter(_enough(F.col("shared") + F.col("frequent"), F.col("n"), least)).select("u", "v")
+
+
+def _enough(common: Column, total: Column, least: float) -> Column:
+    """Whether two texts of `total` shingles can be a link with so many common ones: no less than `least` / (1 + `least`) of
+    them. Both are whole numbers, and the product may be rounded up at exactly `least`, so it is lowered a little."""
+    return common >= F.lit(least / (1 + least)) * total - F.lit(1e-6)
 
 
 def _sizes_fit(a: str, b: str, least: float) -> Column:
@@ -311,7 +317,7 @@ def _classes(table: DataFrame, least: float) -> DataFrame:
     x, y = held.filter(~F.col("is_main")).alias("x"), held.alias("y")
     once = F.col("y.is_main") | (F.col("x.uid") > F.col("y.uid"))
     agree = sum((_agreeing(F.col("x.sig")[i], F.col("y.sig")[i]) for i in range(4)), F.lit(SKETCHES - 32))
-    enough = (F.col("x.k") <= LARGE) | (F.least("x.frequent", "y.frequent") >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")))
+    enough = (F.col("x.k") <= LARGE) | (_enough(F.least("x.frequent", "y.frequent"), F.col("x.n") + F.col("y.n"), least))
     third = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.comp") != F.col("y.comp")) & once & enough & _sizes_fit("x.n", "y.n", least) & (agree >= AGREEING))
     third = third.select(F.greatest("x.uid", "y.uid").alias("u"), F.least("x.uid", "y.uid").alias("v")).unionByName(by_rare).distinct()
     more = _verified(third.join(first.unionByName(second), ["u", "v"], "left_anti"), nodes, words, least)

@@ -234,6 +234,34 @@ def test_classes_of_odd_rows(spark):
     assert orderminhash.near_duplicates(odd.empty(spark)).count() == 0
 
 
+def cut_copy(alone):
+    """A text of 28 shingles (0) that is a text of 35 (1) cut by a fifth, similar by exactly 0.8; others begin like both, in ten
+    groups, whose members head all of their common buckets, those with more than LARGE members."""
+
+    def run(name, n):
+        return [f"s2{name}x{i}" for i in range(n)]
+
+    texts = [run("c", 32), run("c", 32) + run("v", 7)]
+    if not alone:
+        texts += [run("c", 32) + run(f"h{i}y", 15) + run(f"o{i}z{j}y", 2) for i in range(10) for j in range(24)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_cut_copy_in_large_buckets(spark):
+    docs = cut_copy(False)
+    got = orderminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    found = {r["doc_id"]: r["class_id"] for r in got.collect()}
+    assert found[1] == found[0] == 0
+    assert Counter(found.items()) == near_brute(docs)
+
+
+def test_cut_copy_with_rare_shingles(spark):
+    table = orderminhash.prepared(spark.createDataFrame(cut_copy(True), "doc_id long, text string"))
+    held = table.select("uid", F.col("uid").alias("comp"))
+    _, pairs = orderminhash._in_large_buckets(held, table.select("uid", "n", "sig"), table.select("uid", "words"), 0.8)
+    assert pairs.count() == 1
+
+
 def test_order_matters():
     words = [f"w{i}" for i in range(100)]
     a, b = (orderminhash.labelled(orderminhash.words_of(" ".join(w))) for w in (words, words[50:] + words[:50]))
