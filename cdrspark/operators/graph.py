@@ -93,46 +93,90 @@ def component_labels(links: DataFrame) -> DataFrame:
 # -- communities ----------------------------------------------------------------------------
 
 
-def _moved(state: DataFrame, links: DataFrame, twice: float, turn: int) -> DataFrame:
-    """One half sweep: nodes whose turn it is go to the neighbouring community with the largest gain in modularity."""
+#: Sums of weights are whole numbers; products of two of them are exact.
+_WHOLE = "decimal(19,0)"
+
+
+def _wishes(state: DataFrame, links: DataFrame, twice: int) -> DataFrame:
+    """node, k, comm, the weight of its links inside comm (without loops), the neighbouring community with the largest gain in
+    modularity (`to`, comm where none is better) and by how much it is better (`rise`, times `twice`)."""
     of = state.select(F.col("node").alias("v"), F.col("comm").alias("to"))
     inside = links.filter("u <> v").join(of, "v").groupBy("u", "to").agg(F.sum("w").alias("inside"))
-    own = state.select(F.col("node").alias("u"), F.col("comm").alias("to"), F.lit(0.0).alias("inside"))
+    own = state.select(F.col("node").alias("u"), F.col("comm").alias("to"), F.lit(0).cast("long").alias("inside"))
     choice = inside.unionByName(own).groupBy("u", "to").agg(F.sum("inside").alias("inside"))
     total = state.groupBy(F.col("comm").alias("to")).agg(F.sum("k").alias("total"))
     rows = choice.join(total, "to").join(state.select(F.col("node").alias("u"), "comm", "k"), "u")
     stays = F.col("to") == F.col("comm")
-    gain = F.round(F.col("inside") - F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / F.lit(twice), 9)
-    best = rows.withColumn("gain", gain).groupBy("u").agg(F.max(F.struct("gain", stays.cast("int").alias("s"), "to")).alias("best"))
+    others = F.col("total") - F.when(stays, F.col("k")).otherwise(F.lit(0))
+    gain = F.col("inside").cast(_WHOLE) * F.lit(twice).cast("decimal(18,0)") - F.col("k").cast(_WHOLE) * others.cast("decimal(18,0)")
+    kept = F.max(F.when(stays, F.struct("gain", "inside"))).alias("kept")
+    best = rows.withColumn("gain", gain).groupBy("u").agg(F.max(F.struct("gain", stays.cast("int").alias("s"), "to")).alias("best"), kept)
     joined = state.join(best.withColumnRenamed("u", "node"), "node")
-    mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
-    return joined.select("node", "k", F.when(mine, F.col("best.to")).otherwise(F.col("comm")).alias("comm"), (mine & (F.col("best.to") != F.col("comm"))).alias("changed"))
+    return joined.select("node", "k", "comm", F.col("kept.inside").alias("inside"), F.col("best.to").alias("to"), (F.col("best.gain") - F.col("kept.gain")).alias("rise"))
 
 
-def louvain(links: DataFrame, levels: int = 2, sweeps: int = 6) -> DataFrame:
+def _value(wishes: DataFrame, twice: int) -> tuple:
+    """Modularity (times the square of `twice`, but for the loops' constant part) and the number of nodes that want to move."""
+    each = wishes.groupBy("comm").agg(F.sum("inside").alias("inside"), F.sum("k").alias("k"), F.count_if(F.col("to") != F.col("comm")).alias("moves"))
+    value = F.col("inside").cast(_WHOLE) * F.lit(twice).cast("decimal(18,0)") - F.col("k").cast(_WHOLE) * F.col("k").cast("decimal(18,0)")
+    row = each.agg(F.sum(value).alias("value"), F.sum("moves").alias("moves")).first()
+    return row["value"] or 0, row["moves"] or 0
+
+
+def _half_moved(wishes: DataFrame, turn: int) -> DataFrame:
+    """The nodes of one hash half move at once."""
+    mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return wishes.select("node", "k", F.when(mine, F.col("to")).otherwise(F.col("comm")).alias("comm"))
+
+
+def _apart_moved(wishes: DataFrame) -> DataFrame:
+    """Of the nodes that want to move those whose two communities no better move touches: their gains add up exactly."""
+    moves = wishes.filter("to <> comm").select("node", F.struct("rise", "node").alias("rank"), F.explode(F.array("comm", "to")).alias("c"))
+    first = moves.groupBy("c").agg(F.max("rank").alias("rank")).groupBy(F.col("rank.node").alias("node")).agg((F.count("*") == 2).alias("goes"))
+    goes = F.coalesce("goes", F.lit(False))
+    return wishes.join(first, "node", "left").select("node", "k", F.when(goes, F.col("to")).otherwise(F.col("comm")).alias("comm"))
+
+
+def _settled(state: DataFrame, links: DataFrame, twice: int, most_turns: int) -> DataFrame | None:
+    """The state in which no node gains by a move; None if that is the given one. Half sweeps go on while modularity grows;
+    one after which it has not grown is taken back for moves that cannot disturb each other, so it grows with every step."""
+    best, value, moved = None, None, False
+    for turn in range(most_turns):
+        wishes = written(_wishes(state, links, twice), "louvain")
+        new, moves = _value(wishes, twice)
+        if best is not None and new <= value:
+            state = _apart_moved(best)
+            continue
+        moved = best is not None
+        if not moves:
+            return wishes.select("node", "k", "comm") if moved else None
+        best, value = wishes, new
+        state = _half_moved(wishes, turn)
+    raise RuntimeError("communities have not settled")
+
+
+def louvain(links: DataFrame, most_levels: int = 100, most_turns: int = 2000) -> DataFrame:
     """node and comp (a community's label, one of its nodes) by distributed modularity moves: in a half sweep the nodes of one
-    hash half move at once; settled communities become the nodes of the next level. Unweighted, deterministic."""
+    hash half move at once; settled communities become the nodes of the next level, until none merge. Unweighted, deterministic."""
     edges = written(links.select("u", "v").distinct(), "louvain")
-    w = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("w", F.lit(1.0))
+    w = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("w", F.lit(1).cast("long"))
     label = None
-    for _ in range(levels):
+    for _ in range(most_levels):
         both = written(w.unionByName(w.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), "louvain")
         state = both.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")).withColumn("comm", F.col("node"))
         state = written(state.select("node", "k", "comm"), "louvain")
-        twice = float(state.agg(F.sum("k")).first()[0] or 1.0)
-        still = 0
-        for turn in range(2 * sweeps):
-            now = written(_moved(state, both, twice, turn), "louvain")
-            state = now.drop("changed")
-            still = 0 if now.filter("changed").limit(1).count() else still + 1
-            if still == 2:
-                break
+        if label is None:
+            label = state.select("node", F.col("node").alias("comp"))
+        twice = int(state.agg(F.sum("k")).first()[0] or 1)
+        state = _settled(state, both, twice, most_turns)
+        if state is None:
+            return label
         found = state.select("node", F.col("comm").alias("comp"))
-        label = found if label is None else label.join(found.toDF("comp", "next"), "comp").select("node", F.col("next").alias("comp"))
+        label = written(label.join(found.toDF("comp", "next"), "comp").select("node", F.col("next").alias("comp")), "louvain")
         to = found.toDF("v", "b")
         merged = w.join(found.toDF("u", "a"), "u").join(to, "v").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w"))
         w = written(merged, "louvain")
-    return label
+    raise RuntimeError("communities have not settled")
 
 
 def clusters_of(edges: DataFrame, method: str = "components") -> DataFrame:
