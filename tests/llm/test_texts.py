@@ -179,6 +179,14 @@ def test_pii_table(spark):
     assert pii.detect(odd.empty(spark), pii.learn([])).count() == 0
 
 
+def test_sample_is_full_where_few_rows_have_digits(spark):
+    text = F.when(F.col("id") % 100 == 0, F.concat(F.lit("call "), F.col("id").cast("string"))).otherwise(F.lit("nothing to see"))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert len(pii.sample(docs)) == 400
+    copies = docs.filter("doc_id % 100 <> 0").select("doc_id", F.lit("page 7").alias("text")).unionByName(docs)
+    assert len(pii.sample(copies)) == 400
+
+
 # -- language -------------------------------------------------------------------------------
 
 
