@@ -75,6 +75,8 @@ def network_plot(spark: SparkSession, nodes: DataFrame, edges: DataFrame, annota
     else:
         flagged = flagged.withColumn("annotated", F.lit(False))
     few = flagged.limit(LAID_OUT_NODES + 1).count() <= LAID_OUT_NODES and edges.limit(LAID_OUT_EDGES + 1).count() <= LAID_OUT_EDGES
+    if layout is not None and not few:
+        raise ValueError(f"a layout function is used for at most {LAID_OUT_NODES} nodes and {LAID_OUT_EDGES} edges; leave it out for the hash layout")
     if few:
         names = sorted(r["cell_id"] for r in flagged.select("cell_id").collect())
         number = {c: i for i, c in enumerate(names)}
