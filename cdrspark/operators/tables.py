@@ -8,14 +8,18 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (where that is unset, as in tests) a folder made here."""
+    """spark.checkpoint.dir. Where that is unset and driver and executors are one process, as in tests, a folder made here;
+    on a cluster such a folder would be another one on each machine, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cdrspark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -29,7 +33,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and a lost executor loses none of it."""
     path = shared_path(df.sparkSession, name)
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.append(path)
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,8 +41,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-#: Lists of the paths that are written while a scope is open.
-_SCOPES: list[list[str]] = []
+#: Lists of the paths that are written while a scope is open. Each thread has its own scopes.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -50,13 +54,14 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 @contextlib.contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths of all tables written inside."""
+    """The paths of all tables that this thread writes inside. Queries whose results are read later leave their working
+    tables; with this and discard() a caller who has read a result deletes them."""
     paths: list[str] = []
-    _SCOPES.append(paths)
+    token = _SCOPES.set((*_SCOPES.get(), paths))
     try:
         yield paths
     finally:
-        _SCOPES[:] = [s for s in _SCOPES if s is not paths]
+        _SCOPES.reset(token)
 
 
 @contextlib.contextmanager
