@@ -6,7 +6,9 @@ again for the next one. All but the last return the columns of documents (doc_id
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from functools import wraps
+from weakref import ref
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +18,26 @@ from cdrspark.llm import bpe, langid, linededup, mix, orderminhash
 from cdrspark.llm.common import discard, id_remainder, recorded, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Tables in the shared folder that the last stage's result reads.
-_LAST: list[str] = []
+#: Results of the stages of this thread, weakly held, and the working tables that they read.
+_LEFT: ContextVar[tuple[tuple[ref, list[str]], ...]] = ContextVar("left", default=())
 
 
 def _stage(function):
-    """A stage whose result has been written when the next one is called: then its working tables go."""
+    """A stage whose working tables go once its result is no longer held and a later stage of the same thread gets documents
+    that don't read them. What is still read, or belongs to another thread, stays."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _LAST)
+        files = docs.inputFiles() if _LEFT.get() else []
+        kept = []
+        for result, paths in _LEFT.get():
+            if result() is None and not any(path in file for file in files for path in paths):
+                discard(spark, paths)
+            else:
+                kept.append((result, paths))
         with recorded() as made:
             out = function(spark, docs, sf_dir)
-        _LAST[:] = made
+        _LEFT.set((*kept, (ref(out), made)))
         return out
 
     return run_stage
@@ -86,9 +95,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote besides its result goes when that is written, its result when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with recorded() as made:
+            stage.__wrapped__(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, [*made, *before])
+        before = [path]
     return docs
