@@ -11,6 +11,7 @@ from cdrspark.functions.constants import MIN_CLUSTER_SIZE
 from cdrspark.functions.stats import hypergeometric_p
 from cdrspark.operators.filters import collapse_clones
 from cdrspark.operators.graph import clusters_of
+from cdrspark.operators.tables import written
 
 CLUSTERS = (
     "cluster_id string, n_members long, n_heavy long, n_light long, n_clones long, n_samples long, cdr3h_consensus string, "
@@ -21,7 +22,7 @@ CLUSTERS = (
 
 @dataclass
 class Result:
-    """The tables of one run; annotations once annotated."""
+    """The tables of one run; annotations once annotated, members if motifs were sought."""
 
     clusters: DataFrame
     membership: DataFrame
@@ -29,6 +30,7 @@ class Result:
     motifs: DataFrame
     annotations: DataFrame | None = None
     params: dict = field(default_factory=dict)
+    members: DataFrame | None = None  # of motifs: kind, chain, k, motif, row, cell_id
 
 
 def membership_of(edges: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, method: str = "components") -> DataFrame:
@@ -53,8 +55,8 @@ def vgene_tests(heavy: DataFrame, background: DataFrame) -> DataFrame:
     known = background.filter(F.col("v_gene").isNotNull())
     counts = known.groupBy(F.col("v_gene").alias("gene")).agg(F.count("*").alias("gene_bg"))
     total = known.agg(F.count("*").alias("bg"))
-    # One row a V gene and one row: both far below any broadcast bound.
-    rows = top.join(F.broadcast(counts), "gene").crossJoin(F.broadcast(total))
+    # The total is one row; V genes are free text, so whether their counts are sent is left to their size.
+    rows = top.join(counts, "gene").crossJoin(F.broadcast(total))
     a, b = F.col("gene_n"), F.col("gene_all") - F.col("gene_n")
     c = F.greatest(F.col("gene_bg") - a, F.lit(0))
     d = F.greatest(F.col("bg") - a - b - c, F.lit(0))
@@ -104,13 +106,13 @@ def summarise(membership: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def rescored(result: Result) -> Result:
     """The result with scores from the present columns, in their order."""
-    return Result(with_score(result.clusters).orderBy(F.desc("score"), "cluster_id"), result.membership, result.edges, result.motifs, result.annotations, result.params)
+    return Result(with_score(result.clusters).orderBy(F.desc("score"), "cluster_id"), result.membership, result.edges, result.motifs, result.annotations, result.params, result.members)
 
 
 def cluster_cells(contigs: DataFrame, motifs: DataFrame, links: DataFrame, edges: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, method: str = "components", collapse: bool = True) -> Result:
     """Clusters of the cells that links (seq_id_1, seq_id_2) connect. edges: the full edge table, which communities need
     and results show; links may be fewer edges with the same components. No links give empty tables with their columns."""
-    membership = membership_of(links if method == "components" else edges, min_cluster_size, method)
+    membership = written(membership_of(links if method == "components" else edges, min_cluster_size, method), "membership")
     used = collapse_clones(contigs) if collapse else contigs
     params = {"min_cluster_size": min_cluster_size, "method": method, "collapse": collapse}
     return Result(summarise(membership, used), membership, edges, motifs, None, params)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cdrspark.functions.constants import LOUVAIN_MIN_NODES
@@ -22,6 +22,12 @@ def motif_pairs(members: DataFrame) -> DataFrame:
     return a.join(b, key).filter("row_1 < row_2")
 
 
+def count_motif_pairs(members: DataFrame) -> int:
+    """How many pairs motif_pairs would make, without making them."""
+    sizes = members.groupBy("kind", "chain", "k", "motif").agg(F.count("*").alias("n"))
+    return int(sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0)
+
+
 def motif_stars(members: DataFrame) -> DataFrame:
     """seq_id_1, seq_id_2: each member of a motif with its first one; the same components as all pairs."""
     key = ["kind", "chain", "k", "motif"]
@@ -62,19 +68,21 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(links.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
+def _written_with_state(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, and their number and two hashes of them all, which the same job counts."""
+    h, seen = F.xxhash64("u", "v"), Observation()
+    counted = [F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(h, 20)).alias("sum"), F.bit_xor(h).alias("xor")]
+    table = written(links.observe(seen, *counted), "links")
+    return table, tuple(sorted(seen.get.items()))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and comp (the smallest node of its component) for every node of links (u, v) but those that are the
-    smallest of theirs. Rounds end when one changes nothing; they grow with the logarithm of the nodes."""
-    links = written(links.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "links")
-    state = _state(links)
+    smallest of theirs. Rounds end when one changes nothing; they grow with the logarithm of the nodes, and an error ends the
+    job after most_rounds."""
+    links, state = _written_with_state(links.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
     for _ in range(most_rounds):
-        links = written(_star(_star(links, True), False), "links")
-        new = _state(links)
+        links, new = _written_with_state(_star(_star(links, True), False))
         if new == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         state = new
@@ -87,6 +95,7 @@ def _nodes(links: DataFrame) -> DataFrame:
 
 def component_labels(links: DataFrame) -> DataFrame:
     """node and comp for every node of links (u, v), loops included."""
+    links = written(links.select("u", "v"), "links")
     return _nodes(links).join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
@@ -184,6 +193,8 @@ def clusters_of(edges: DataFrame, method: str = "components") -> DataFrame:
     if method not in ("components", "louvain"):
         raise ValueError("method is components or louvain")
     links = edges.select(F.col("seq_id_1").alias("u"), F.col("seq_id_2").alias("v"))
+    if method == "louvain":
+        links = written(links, "links")
     if method == "louvain" and _nodes(links).limit(LOUVAIN_MIN_NODES + 1).count() > LOUVAIN_MIN_NODES:
         return louvain(links).withColumnRenamed("node", "cell_id")
     return component_labels(links).withColumnRenamed("node", "cell_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdrspark.functions.constants import KMER_SIZES, MAX_FRACTION, MIN_COUNT
@@ -26,10 +26,11 @@ def background_frequencies(sequences: DataFrame, k_sizes: Sequence[int] = KMER_S
         return rows.withColumn("k", F.lit(k))
 
     counts = reduce(DataFrame.unionByName, [one(k) for k in k_sizes])
-    total = kept.agg(F.count("*").alias("n_total"))
-    sums = counts.withColumn("all", F.sum("count").over(Window.partitionBy("k")))
-    return sums.crossJoin(F.broadcast(total)).select(
-        "k", "kmer", "count", (F.col("count") / F.col("all")).alias("freq"), (F.col("seqs") / F.col("n_total")).alias("per_seq"), "n_total"
+    # A sequence has length - k + 1 k-mers, so one row of totals needs no pass over the counts.
+    total = kept.agg(F.count("*").alias("n_total"), *[F.sum(F.length("cdr3_aa") - (k - 1)).alias(f"all_{k}") for k in k_sizes])
+    every = F.coalesce(*[F.when(F.col("k") == k, F.col(f"all_{k}")) for k in k_sizes])
+    return counts.crossJoin(F.broadcast(total)).select(
+        "k", "kmer", "count", (F.col("count") / every).alias("freq"), (F.col("seqs") / F.col("n_total")).alias("per_seq"), "n_total"
     )
 
 
@@ -47,7 +48,7 @@ def motif_rows(sequences: DataFrame, k_sizes: Sequence[int] = KMER_SIZES) -> Dat
 
 
 def _within_bounds(counts: DataFrame, totals: DataFrame, min_count: int, max_fraction: float) -> DataFrame:
-    joined = counts.join(F.broadcast(totals), "chain")
+    joined = counts.join(F.broadcast(totals), "chain")  # one row a chain type, of two
     return joined.filter((F.col("count_obs") >= min_count) & (F.col("count_obs") <= F.lit(max_fraction) * F.col("n_input")))
 
 

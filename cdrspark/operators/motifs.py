@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cdrspark.functions.constants import KMER_SIZES, MAX_FRACTION, MIN_COUNT, MIN_FOLD, P_CUTOFF
 from cdrspark.functions.stats import adjusted, binomial_p
 from cdrspark.operators import kmers as K
+from cdrspark.operators.tables import written
 
 CHAINS = {"heavy": ("heavy",), "light": ("light",), "both": ("heavy", "light")}
 #: Columns of a motif table, member_ids aside.
@@ -24,14 +25,14 @@ def _tested(df: DataFrame) -> DataFrame:
 
 
 def _sizes(background: DataFrame) -> DataFrame:
-    """k and n_total: one row for each k that the background has; other k are not tested."""
+    """k and n_total: one row for each k that the background has; other k are not tested. Spark broadcasts it if it is small."""
     return background.groupBy("k").agg(F.max("n_total").alias("n_total"))
 
 
 def exact_tests(found: DataFrame, background: DataFrame) -> DataFrame:
     """Tests of exact candidates; a k-mer that the background lacks counts as seen in one sequence."""
     known = background.select("k", "kmer", "per_seq")
-    joined = found.join(F.broadcast(_sizes(background)), "k").join(known, ["k", "kmer"], "left")
+    joined = found.join(_sizes(background), "k").join(known, ["k", "kmer"], "left")
     joined = joined.withColumn("freq_ref", F.coalesce("per_seq", F.lit(1.0) / F.col("n_total")))
     return _tested(joined.withColumnRenamed("kmer", "motif")).select(*TESTED)
 
@@ -39,7 +40,7 @@ def exact_tests(found: DataFrame, background: DataFrame) -> DataFrame:
 def degenerate_tests(found: DataFrame, background: DataFrame, k_sizes: Sequence[int] = KMER_SIZES) -> DataFrame:
     """Tests of degenerate candidates against the summed background, 0.99 at most."""
     sums = K.degenerate_background(background, found, k_sizes)
-    joined = found.join(F.broadcast(_sizes(background)), "k").join(sums, ["k", "token"], "left")
+    joined = found.join(_sizes(background), "k").join(sums, ["k", "token"], "left")
     ref = F.when(F.col("bg") > 0, F.col("bg")).otherwise(F.lit(1.0) / F.col("n_total"))
     return _tested(joined.withColumn("freq_ref", F.least(ref, F.lit(0.99))).withColumnRenamed("token", "motif")).select(*TESTED)
 
@@ -48,7 +49,8 @@ def motif_tests(contigs: DataFrame, background: DataFrame, chain: str = "heavy",
     """All tests, with kind (exact or degenerate); and members (kind, chain, k, motif, row, cell_id) of all candidates."""
     sequences = K.tested_sequences(contigs, CHAINS[chain], k_sizes)
     totals, rows = K.totals_of(sequences), K.motif_rows(sequences, k_sizes)
-    exact = K.candidates(rows, totals, min_count, max_fraction)
+    # Tests, masked tokens and their totals all read the candidates.
+    exact = written(K.candidates(rows, totals, min_count, max_fraction), "candidates")
     tests = exact_tests(exact, background).withColumn("kind", F.lit("exact"))
     members = rows.select(F.lit("exact").alias("kind"), "chain", "k", F.col("kmer").alias("motif"), "row", "cell_id")
     if degenerate:
@@ -71,11 +73,21 @@ def members_of(kept: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(kept.select("kind", "chain", "k", "motif"), ["kind", "chain", "k", "motif"], "left_semi")
 
 
-def enriched_motifs(contigs: DataFrame, background: DataFrame, p_adjust_method: str = "BH", p_cutoff: float = P_CUTOFF, min_fold: float = MIN_FOLD, **options) -> DataFrame:
-    """The motif table: TESTED, pvalue_adj and member_ids (cells in row order), most significant first.
+def with_member_ids(motifs: DataFrame, members: DataFrame) -> DataFrame:
+    """motifs with member_ids, the array of each one's cells in row order. A motif has up to max_fraction of all contigs, so this
+    is for export and for callers who want arrays; everything else works on the members as rows."""
+    key = ["kind", "chain", "k", "motif"]
+    ids = members.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "cell_id"))), lambda x: x["cell_id"]).alias("member_ids"))
+    return in_order(motifs.join(ids, key))
+
+
+def in_order(motifs: DataFrame) -> DataFrame:
+    """Most significant first."""
+    return motifs.orderBy("pvalue_adj", "kind", "chain", "k", "motif")
 
-    member_ids is at most max_fraction of all contigs long; code that pairs members works on members_of() instead."""
+
+def enriched_motifs(contigs: DataFrame, background: DataFrame, p_adjust_method: str = "BH", p_cutoff: float = P_CUTOFF, min_fold: float = MIN_FOLD, **options) -> DataFrame:
+    """The motif table: TESTED, pvalue_adj and member_ids, most significant first."""
     tests, members = motif_tests(contigs, background, **options)
-    kept = significant(tests, p_adjust_method, p_cutoff, min_fold)
-    ids = members_of(kept, members).groupBy("kind", "chain", "k", "motif").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "cell_id"))), lambda x: x["cell_id"]).alias("member_ids"))
-    return kept.join(ids, ["kind", "chain", "k", "motif"]).orderBy("pvalue_adj", "kind", "chain", "k", "motif")
+    kept = written(significant(tests, p_adjust_method, p_cutoff, min_fold), "motifs")
+    return with_member_ids(kept, members_of(kept, members))

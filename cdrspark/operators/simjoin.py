@@ -167,7 +167,7 @@ def global_edges(contigs: DataFrame, max_dist: float = MAX_DISTANCE, length_diff
     if reference_multiplicity:
         lengths = seqs.select(F.length("seq").alias("window")).distinct()
         low, high = F.least(F.length("seq_1"), F.length("seq_2")), F.greatest(F.length("seq_1"), F.length("seq_2"))
-        pairs = pairs.join(F.broadcast(lengths), F.col("window").between(high - length_diff, low)).drop("window")
+        pairs = pairs.withColumn("window", F.explode(F.sequence(high - length_diff, low))).join(lengths, "window").drop("window")
     return pairs.select("seq_id_1", "seq_id_2", F.col("seq_1").alias("cdr3_1"), F.col("seq_2").alias("cdr3_2"), "distance", F.lit(chain).alias("chain"))
 
 

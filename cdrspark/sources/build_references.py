@@ -23,8 +23,8 @@ def main(argv: list[str] | None = None) -> list[str]:
     a = p.parse_args(argv)
     builder = SparkSession.builder.appName("build-references")
     spark = (builder.master(f"local[{a.cores}]") if a.cores else builder).getOrCreate()
-    epitopes = R.read_epitopes(spark, a.epitopes) if a.epitopes else None
-    structures = R.read_structures(spark, a.structures) if a.structures else None
+    epitopes = R.cached_epitopes(spark, a.cache, a.epitopes, force=a.force) if a.epitopes else None
+    structures = R.cached_structures(spark, a.cache, a.structures, force=a.force) if a.structures else None
     out = []
     for species in a.species.split(","):
         units = a.units.replace("{species}", species) if a.units else None

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +35,13 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def numbered(df: DataFrame) -> DataFrame:
     """df with ord, the rows' consecutive numbers from 1 in reading order; only a count for each partition moves."""
     rows = df.withColumn("mono", F.monotonically_increasing_id())
-    part = F.shiftright("mono", 33)
-    counts = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
-    before = {r["p"]: r["n"] for r in counts.collect()}
-    start, at = {}, 0
-    for p in sorted(before):
-        start[p], at = at, at + before[p]
-    offset = F.create_map(*[F.lit(x) for pair in (start or {0: 0}).items() for x in pair])
-    return rows.withColumn("ord", offset[part] + F.col("mono").bitwiseAND(F.lit(2**33 - 1)) + 1).drop("mono")
+    counts = rows.groupBy(F.shiftright("mono", 33).alias("ord_part")).agg(F.count("*").alias("n"))
+    before = sorted((r["ord_part"], r["n"]) for r in counts.collect())
+    starts = [(p, at - n) for (p, n), at in zip(before, accumulate(n for _, n in before), strict=True)]
+    # One row a partition of the input.
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "ord_part long, ord_from long"))
+    placed = rows.withColumn("ord_part", F.shiftright("mono", 33)).join(offsets, "ord_part")
+    return placed.withColumn("ord", F.col("ord_from") + F.col("mono").bitwiseAND(F.lit(2**33 - 1)) + 1).drop("mono", "ord_part", "ord_from")
 
 
 def _text(df: DataFrame, column: str) -> Column:

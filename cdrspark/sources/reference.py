@@ -9,7 +9,8 @@ import csv
 import gzip
 import io
 import itertools
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -80,8 +81,9 @@ def synthetic_sequences(spark: SparkSession, n: int, seed: int = 1) -> DataFrame
     )
 
 
-def read_unit(spark: SparkSession, paths: str, max_lines: int = UNIT_LINES) -> DataFrame:
-    """Sequence data units (gzipped CSV whose first line is metadata): a file is one row here and is read line by line."""
+def read_unit(spark: SparkSession, paths: str, max_lines: int | None = UNIT_LINES) -> DataFrame:
+    """Sequence data units (gzipped CSV whose first line is metadata): a file is one row here and is read line by line,
+    max_lines of it (None: all)."""
     wanted = {"cdr3_aa": "cdr3_aa", "v_gene": "v_call", "j_gene": "j_call"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +98,11 @@ def read_unit(spark: SparkSession, paths: str, max_lines: int = UNIT_LINES) -> D
     return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, BACKGROUND)
 
 
-def read_sequences(spark: SparkSession, paths: str, n_sequences: int = DEFAULT_SEQUENCES, seed: int = 1) -> DataFrame:
-    """Units of all paths, sequences of standard residues only, n_sequences of them by hash if there are more."""
-    rows = read_unit(spark, paths).filter(F.col("cdr3_aa").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"))
+def read_sequences(spark: SparkSession, paths: str, n_sequences: int | None = DEFAULT_SEQUENCES, seed: int = 1, max_lines: int | None = UNIT_LINES) -> DataFrame:
+    """Units of all paths, sequences of standard residues only, n_sequences of them by hash if there are more (None: all)."""
+    rows = read_unit(spark, paths, max_lines).filter(F.col("cdr3_aa").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"))
+    if n_sequences is None:
+        return rows
     return rows.orderBy(F.xxhash64("cdr3_aa", "v_gene", "j_gene", F.lit(seed)), "cdr3_aa").limit(n_sequences)
 
 
@@ -131,17 +135,18 @@ def parse_epitopes(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_epitopes(spark: SparkSession, paths: str, organism: str | None = None, max_records: int = EPITOPE_RECORDS) -> DataFrame:
-    """Epitope JSON arrays: positive linear peptides (where those columns are there), of an organism if one is given."""
+def read_epitopes(spark: SparkSession, paths: str, organism: str | None = None, max_records: int | None = EPITOPE_RECORDS) -> DataFrame:
+    """Epitope JSON arrays: positive linear peptides (where those columns are there), of an organism if one is given,
+    the first max_records (None: all)."""
     raw = spark.read.option("multiLine", True).json(paths)
     for column, value in (("qualitative_measure", "Positive"), ("structure_type", "Linear peptide")):
         if column in raw.columns:
             raw = raw.filter(F.col(column) == value)
     if organism is not None:
         raw = raw.filter(F.col("source_organism_name").ilike(f"%{organism}%"))
-    if "structure_id" in raw.columns:
-        raw = raw.orderBy("structure_id")
-    return parse_epitopes(raw.limit(max_records))
+    if max_records is not None:
+        raw = (raw.orderBy("structure_id") if "structure_id" in raw.columns else raw).limit(max_records)
+    return parse_epitopes(raw)
 
 
 def parse_structures(raw: DataFrame) -> DataFrame:
@@ -177,10 +182,28 @@ def load_reference(spark: SparkSession, folder: str, species: str = "human") ->
     return Reference(*[spark.read.parquet(f"{path}/{n}").select(*names(ddl)) for n, ddl in tables.items()], species)
 
 
-def cached_sequences(spark: SparkSession, cache: str, paths: str | None, species: str, n_sequences: int = DEFAULT_SEQUENCES, force: bool = False) -> DataFrame:
-    """The background of a species from the cache; made there first (from units, or synthetic without any) if it is absent or force is set."""
-    path = f"{cache.rstrip('/')}/sequences-{species}"
+def _cached(spark: SparkSession, path: str, schema: str, make: Callable[[], DataFrame], force: bool) -> DataFrame:
+    """The table at path, made there first if it is absent or force is set."""
     if force or not exists(spark, path):
-        made = read_sequences(spark, paths, n_sequences) if paths else synthetic_sequences(spark, n_sequences)
-        made.write.mode("overwrite").parquet(path)
-    return spark.read.schema(BACKGROUND).parquet(path)
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def cached_sequences(spark: SparkSession, cache: str, paths: str | None, species: str, n_sequences: int | None = DEFAULT_SEQUENCES, force: bool = False, max_lines: int | None = UNIT_LINES) -> DataFrame:
+    """The background of a species from the cache; made there from units, or synthetic without any."""
+
+    def make() -> DataFrame:
+        return read_sequences(spark, paths, n_sequences, max_lines=max_lines) if paths else synthetic_sequences(spark, n_sequences or DEFAULT_SEQUENCES)
+
+    return _cached(spark, f"{cache.rstrip('/')}/sequences-{species}", BACKGROUND, make, force)
+
+
+def cached_epitopes(spark: SparkSession, cache: str, paths: str | None, organism: str | None = None, max_records: int | None = EPITOPE_RECORDS, force: bool = False) -> DataFrame:
+    """Epitopes from the cache, one table an organism; made there from epitope JSON, or empty without any."""
+    name = re.sub(r"\W+", "_", organism.lower()) if organism else "all"
+    return _cached(spark, f"{cache.rstrip('/')}/epitopes-{name}", EPITOPES, lambda: read_epitopes(spark, paths, organism, max_records) if paths else empty_epitopes(spark), force)
+
+
+def cached_structures(spark: SparkSession, cache: str, paths: str | None, force: bool = False) -> DataFrame:
+    """Structures from the cache; made there from a structure TSV, or empty without any."""
+    return _cached(spark, f"{cache.rstrip('/')}/structures", STRUCTURES, lambda: read_structures(spark, paths) if paths else empty_structures(spark), force)

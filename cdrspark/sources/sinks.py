@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdrspark.operators.clusters import Result
+from cdrspark.operators.motifs import with_member_ids
 
 
 def _csv(df: DataFrame, path: str, join_arrays: bool) -> str:
@@ -21,7 +22,8 @@ def export_clusters(result: Result, prefix: str = "results", folder: str = ".")
     base = f"{folder.rstrip('/')}/{prefix}"
     paths = [_csv(result.clusters, f"{base}_clusters.csv", False), _csv(result.membership, f"{base}_membership.csv", False)]
     if not result.motifs.isEmpty():
-        paths.append(_csv(result.motifs, f"{base}_motifs.csv", True))
+        motifs = result.motifs if result.members is None else with_member_ids(result.motifs, result.members)
+        paths.append(_csv(motifs, f"{base}_motifs.csv", True))
     if result.annotations is not None and not result.annotations.isEmpty():
         paths.append(_csv(result.annotations, f"{base}_annotations.csv", False))
     return paths

@@ -164,13 +164,40 @@ def test_tails_match_sums():
 
 def test_hommel_by_closed_testing():
     rng = np.random.default_rng(2)
-    p = rng.uniform(size=6) ** 2
-    found = stats.hommel(p)
-    for i in range(6):
-        worst = 0.0
-        for size in range(1, 7):
-            for group in itertools.combinations(range(6), size):
-                if i in group:
-                    s = np.sort(p[list(group)])
-                    worst = max(worst, min(size * s[k] / (k + 1) for k in range(size)))
-        assert math.isclose(found[i], min(1, worst), rel_tol=1e-12)
+    for p in (rng.uniform(size=6) ** 2, rng.uniform(size=7) ** 6, np.round(rng.uniform(size=7), 1), np.zeros(3), np.array([0.03]), np.array([])):
+        found, n = stats.hommel(p), len(p)
+        for i in range(n):
+            worst = 0.0
+            for size in range(1, n + 1):
+                for group in itertools.combinations(range(n), size):
+                    if i in group:
+                        s = np.sort(p[list(group)])
+                        worst = max(worst, min(size * s[k] / (k + 1) for k in range(size)))
+            assert math.isclose(found[i], min(1, worst), rel_tol=1e-12, abs_tol=1e-300)
+
+
+def test_adjusted_equals_sorted_definitions(spark):
+    rng = np.random.default_rng(5)
+    p = np.r_[np.round(rng.uniform(size=300) ** 3, 2), 0.0, 0.0, 1.0, rng.uniform(size=40) * 1e-6]
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "id long, p double").repartition(5)
+    n, order = len(p), np.argsort(p, kind="stable")
+    s, rank = p[order], np.arange(1, n + 1)
+    up, down = np.maximum.accumulate, lambda x: np.minimum.accumulate(x[::-1])[::-1]
+    want = {
+        "none": s, "bonferroni": n * s, "holm": up((n - rank + 1) * s), "hochberg": down((n - rank + 1) * s),
+        "BH": down(n * s / rank), "BY": down((1 / rank).sum() * n * s / rank), "hommel": by_levels(s),
+    }
+    for method, values in want.items():
+        got = {r["id"]: r["adj"] for r in stats.adjusted(rows, "p", method, "adj", ["id"]).collect()}
+        assert np.allclose([got[i] for i in order.tolist()], np.minimum(values, 1), rtol=1e-12, atol=0), method
+    empty = rows.limit(0)
+    assert all(stats.adjusted(empty, "p", m, "adj", ["id"]).count() == 0 for m in stats.METHODS)
+    with pytest.raises(ValueError):
+        stats.adjusted(rows, "p", "hommel", "adj", ["id"], most_tests=10)
+
+
+def by_levels(s):
+    """Hommel's values from the smallest ratio for every number of kept tests, without hulls and crossings."""
+    n = len(s)
+    bound = [min(j * s[n - j + k - 1] / k for k in range(1, j + 1)) for j in range(1, n + 1)]
+    return np.array([max(min(bound[j - 1], j * x) for j in range(1, n + 1)) for x in s])
