@@ -36,6 +36,15 @@ def _counts(budget: float, least: float) -> tuple[int, int]:
     return int(budget / least) + 1, int(with_gap / least) + 2 if with_gap >= 0 else 0
 
 
+#: Letters of a segment at most: a segment has up to 4 to this power free variants, however small the budget.
+SEGMENT = 7
+
+
+def _cut(least: int, length: int) -> int:
+    """Segments of a sequence: no fewer than `least`, none longer than SEGMENT. More only make more of them free."""
+    return max(least, -(-length // SEGMENT))
+
+
 def _variants(text: str, free: bool) -> list[str]:
     return ["".join(x) for x in itertools.product(*[FREE_OF.get(c, c) for c in text])] if free else [text]
 
@@ -49,14 +58,14 @@ def segment_keys(seq: str, budget: float, scoring: str, length_diff: int, raw: b
         if n < equal:
             keys.append(f"E{n}")
         else:
-            for i, (lo, hi) in enumerate(_segments(n, equal)):
+            for i, (lo, hi) in enumerate(_segments(n, _cut(equal, n))):
                 keys += [f"E{n}:{i}:{v}" for v in _variants(seq[lo:hi], weighted and not raw)]
     if "G" in kinds and weighted and gap and length_diff >= 1:
         short = n if raw else n - 1
         if 0 <= short < gap:
             keys.append(f"G{short}")
         elif short >= gap:
-            for i, (lo, hi) in enumerate(_segments(short, gap)):
+            for i, (lo, hi) in enumerate(_segments(short, _cut(gap, short))):
                 texts = {seq[lo:hi]} if raw else {seq[lo:hi], seq[lo + 1 : hi + 1]}
                 keys += [f"G{short}:{i}:{v}" for v in sorted({v for t in texts for v in _variants(t, not raw)})]
     return keys
@@ -78,10 +87,12 @@ def with_keys(df: DataFrame, column: str, budget: float, scoring: str, length_di
 
 
 def first_free(kind: str, a: pa.Array, b: pa.Array, count: int, table: np.ndarray) -> np.ndarray:
-    """The first segment of each pair that costs nothing (a: the shorter, all of one length); -1: too short to have segments."""
+    """The first segment of each pair that costs nothing (a: the shorter, all of one length; count: segments at least); -1: too
+    short to have segments."""
     length = len(a[0].as_py())
     if length < count:
         return np.full(len(a), -1)
+    count = _cut(count, length)
     total = [np.pad(np.cumsum(position_costs(a, b, s, table)[0], axis=1), ((0, 0), (1, 0))) for s in ((0,) if kind == "E" else (0, 1))]
     free = np.stack([np.any([t[:, hi] == t[:, lo] for t in total], axis=0) for lo, hi in _segments(length, count)], axis=1)
     return np.where(free.any(axis=1), free.argmax(axis=1), count)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cdrspark.functions import costs
 from cdrspark.functions import sequences as S
 from cdrspark.functions.constants import KMER_SIZES
 from cdrspark.functions.stats import adjusted
@@ -18,10 +19,15 @@ from cdrspark.operators import kmers as K
 from cdrspark.operators import motifs as M
 from cdrspark.operators import plotdata as V
 from cdrspark.operators.simjoin import global_edges
-from cdrspark.operators.tables import written
+from cdrspark.operators.tables import shared_path, written
 from cdrspark.plans import fixtures as X
 from cdrspark.plans.pipeline import cluster_receptors
+from cdrspark.sources import build_references
+from cdrspark.sources import readers as R
+from cdrspark.sources import reference as REF
 from cdrspark.sources.reference import Reference, empty_epitopes, empty_structures, synthetic_sequences
+from cdrspark.sources.schema import EPITOPES, STRUCTURES
+from cdrspark.sources.sinks import export_clusters
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONTIG_COLUMNS = ("cell_id", "sample_id", "chain", "chain_type", "v_gene", "j_gene", "cdr3_aa", "clone_id")
@@ -42,7 +48,9 @@ def _membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return C.summarise(_membership(spark, d), P.collapse_clones(_filtered(spark, d)))
+    """The cluster table, written: its parts read the membership several times, and the queries read it more than once."""
+    membership = written(_membership(spark, d), "membership")
+    return written(C.summarise(membership, P.collapse_clones(_filtered(spark, d))), "clusters")
 
 
 def _tests(spark: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +225,7 @@ def cluster_summary(spark, d):
 
 
 def cluster_score(spark, d):
-    return _clusters(spark, d).select("cluster_id", F.round(F.col("score"), 3).alias("score"))
+    return _clusters(spark, d).select("cluster_id", "score")
 
 
 def known_specificity(spark, d):
@@ -225,8 +233,9 @@ def known_specificity(spark, d):
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    sequences = written(A.cluster_sequences(_membership(spark, d), _filtered(spark, d)), "sequences")
     known = A.expanded(X.known(spark, d))
-    out = A.annotations(_clusters(spark, d), _membership(spark, d), known, _filtered(spark, d))
+    out = A.exact_matches(sequences, known).unionByName(A.near_matches(sequences, known))
     return out.withColumn("distance", F.round("distance", 6))
 
 
@@ -261,12 +270,13 @@ def plot_size_diversity(spark, d):
 
 
 def summary_stats(spark, d):
-    membership = _membership(spark, d)
-    return C.overview(C.Result(_clusters(spark, d), membership, membership, membership))
+    membership = written(_membership(spark, d), "membership")
+    clusters = written(C.summarise(membership, P.collapse_clones(_filtered(spark, d))), "clusters")
+    return C.overview(C.Result(clusters, membership, membership, membership))
 
 
 def top_clusters(spark, d):
-    return C.top_clusters(_clusters(spark, d), 20).withColumn("score", F.round("score", 3))
+    return C.top_clusters(_clusters(spark, d), 20)
 
 
 def louvain(spark, d):
@@ -277,20 +287,300 @@ def synthetic_reference(spark, d):
     return synthetic_sequences(spark, 1000)
 
 
+def _drawn(spark: SparkSession, d: str) -> tuple:
+    """Nodes, edges and centroids of the network of Hamming edges; clusters with an exact match are annotated."""
+    edges = written(_edges(spark, d, scoring="hamming").withColumn("edge_type", F.lit("global_similarity")), "edges")
+    membership = written(C.membership_of(edges), "membership")
+    matched = A.exact_matches(A.cluster_sequences(membership, _filtered(spark, d)), A.expanded(X.known(spark, d)))
+    nodes, links = G.network(edges, membership)
+    return V.network_plot(spark, nodes, links, matched, label_clusters=True)
+
+
 def network_layout(spark, d):
-    edges = _edges(spark, d, scoring="hamming").withColumn("edge_type", F.lit("global_similarity"))
-    nodes, links = G.network(written(edges, "edges"), _membership(spark, d))
-    return V.network_plot(spark, nodes, links)[0]
+    return _drawn(spark, d)[0]
 
 
-def full_pipeline(spark, d):
-    sequences = X.background(spark, d).select("cdr3_aa")
+def network_annotated(spark, d):
+    return _drawn(spark, d)[0].select("cell_id", "cluster", "annotated")
+
+
+def network_drawn(spark, d):
+    """Edges end where their nodes lie: how many there are of each type, and labelled clusters."""
+    nodes, edges, labels = _drawn(spark, d)
+    nodes = written(nodes, "nodes")
+    ends = edges.join(nodes.select("x", "y").distinct(), ["x", "y"]).join(nodes.select(F.col("x").alias("xend"), F.col("y").alias("yend")).distinct(), ["xend", "yend"])
+    return ends.groupBy("type").agg(F.count("*").alias("n")).unionByName(labels.agg(F.count("*").alias("n")).withColumn("type", F.lit("labels")).select("type", "n"))
+
+
+def _run(spark: SparkSession, d: str):
+    """The whole pipeline with parameters under which the fixture keeps several clusters."""
+    reference = Reference(X.background(spark, d).select("cdr3_aa"), empty_epitopes(spark), empty_structures(spark), X.background_kmers(spark, d))
     known = X.known(spark, d)
-    nothing = Reference(sequences, empty_epitopes(spark), empty_structures(spark), X.background_kmers(spark, d))
-    nothing.epitopes = known.filter("source = 'IEDB'")
-    nothing.structures = known.filter("source = 'SAbDab'")
-    result = cluster_receptors(X.contigs(spark, d), nothing, global_scoring="hamming", full_edges=False)
-    return result.clusters
+    reference.epitopes = known.filter("source = 'IEDB'")
+    reference.structures = known.filter("source = 'SAbDab'")
+    return cluster_receptors(X.contigs(spark, d), reference, k_sizes=(5,), degenerate=False, global_max_dist=0.5, verbose=False)
+
+
+def full_pipeline(spark, d):
+    rows = _run(spark, d).clusters.withColumn("log_p", F.round(F.log10(F.greatest("vh_enrichment_p", F.lit(1e-300))), 6)).drop("vh_enrichment_p")
+    return rows.withColumns({c: F.round(c, 9) for c in ("cdr3h_len_mean", "cdr3h_len_sd", "clonal_diversity", "sample_diversity")})
+
+
+def full_pipeline_membership(spark, d):
+    return _run(spark, d).membership
+
+
+def full_pipeline_motifs(spark, d):
+    """Motifs with their cells, in their order."""
+    result = _run(spark, d)
+    rows = _shown(M.with_member_ids(result.motifs, result.members)).drop("kind")
+    return R.numbered(rows).withColumn("member_ids", F.array_join("member_ids", ";"))
+
+
+def full_pipeline_annotations(spark, d):
+    return _rounded_edges(_run(spark, d).annotations)
+
+
+def cluster_order(spark, d):
+    """The cluster table's order: best first."""
+    return R.numbered(_clusters(spark, d)).select("cluster_id", "ord", "score")
+
+
+def cluster_rescored(spark, d):
+    changed = _clusters(spark, d).withColumns({"sample_diversity": F.lit(0.5), "score": F.lit(0.0)})
+    again = C.rescored(C.Result(changed, changed, changed, changed)).clusters
+    return R.numbered(again).select("cluster_id", "ord", "score")
+
+
+def cluster_composite(spark, d):
+    """Clustering in one call, from global edges alone."""
+    edges = written(_edges(spark, d, scoring="hamming"), "edges")
+    table = edges.select("seq_id_1", "seq_id_2", (F.lit(1.0) / (1.0 + F.col("distance"))).alias("weight"), F.lit("global_similarity").alias("edge_type"), F.lit(None).cast("string").alias("motif"))
+    return C.cluster_cells(_filtered(spark, d), edges, edges, table).clusters.select("cluster_id", "n_members", "n_heavy", "n_light", "n_clones", "score")
+
+
+def cluster_composite_empty(spark, d):
+    """No edges: no clusters, and all columns."""
+    nothing = spark.createDataFrame([], G.EDGES)
+    return C.cluster_cells(_filtered(spark, d), nothing, nothing, nothing).clusters
+
+
+def edge_motifs(spark, d):
+    """The edge table as it is: direction, and the motif that a local edge is kept for."""
+    tests, members = _tests(spark, d, degenerate=False, k_sizes=(5,))
+    kept = written(M.significant(tests), "kept")
+    edges = G.combined_edges(kept, written(M.members_of(kept, members), "members"), _edges(spark, d, scoring="hamming"))
+    return edges.select("seq_id_1", "seq_id_2", F.round("weight", 6).alias("weight"), "edge_type", "motif")
+
+
+def louvain_cliques(spark, d):
+    """Communities of a chain of cliques of forty, each joined to the next by one link: the cliques."""
+    nodes = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 40).alias("q"))
+    a, b = nodes.toDF("k1", "q"), nodes.toDF("k2", "q")
+    name = lambda c: F.concat(F.lit("n"), F.lpad(F.col(c).cast("string"), 12, "0"))
+    inside = a.join(b, "q").filter("k1 < k2").select(name("k1").alias("seq_id_1"), name("k2").alias("seq_id_2"))
+    first = nodes.filter("k % 40 = 0").select(name("k").alias("seq_id_2"), (F.col("k") - 1).alias("k1"))
+    between = first.join(nodes.select(F.col("k").alias("k1")), "k1").select(name("k1").alias("seq_id_1"), "seq_id_2")
+    found = G.clusters_of(inside.unionByName(between), "louvain")
+    least = found.groupBy("comp").agg(F.min("cell_id").alias("community"))
+    return found.join(least, "comp").select("cell_id", "community")
+
+
+def louvain_modularity(spark, d):
+    """Whether the communities of the Hamming graph are whole parts of its components, and whether their modularity is at
+    least that of the components themselves."""
+    edges = written(_edges(spark, d, scoring="hamming").select("seq_id_1", "seq_id_2"), "edges")
+    parts = [written(G.clusters_of(edges, m).toDF("cell_id", "comp"), m) for m in ("louvain", "components")]
+
+    def modularity(labels):
+        a = labels.select(F.col("cell_id").alias("seq_id_1"), F.col("comp").alias("c1"))
+        b = labels.select(F.col("cell_id").alias("seq_id_2"), F.col("comp").alias("c2"))
+        both = edges.join(a, "seq_id_1").join(b, "seq_id_2")
+        ends = both.select(F.explode(F.array(F.struct("c1", (F.col("c1") == F.col("c2")).cast("int").alias("in")), F.struct(F.col("c2").alias("c1"), (F.col("c1") == F.col("c2")).cast("int").alias("in")))).alias("e")).select("e.*")
+        each = ends.groupBy("c1").agg(F.count("*").alias("k"), F.sum("in").alias("inside"))
+        total = edges.agg((F.count("*") * 2).alias("all"))
+        return each.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("all") - F.pow(F.col("k") / F.col("all"), 2)).alias("q"))
+
+    crossed = parts[0].join(parts[1].withColumnRenamed("comp", "component"), "cell_id").groupBy("comp").agg(F.count_distinct("component").alias("n"))
+    low = modularity(parts[1]).withColumnRenamed("q", "low")
+    cells = parts[0].agg(F.count("*").alias("n_cells"))
+    return crossed.agg(F.max("n").alias("components_each")).crossJoin(modularity(parts[0])).crossJoin(low).crossJoin(cells).select("n_cells", "components_each", (F.col("q") >= F.col("low") - 1e-9).alias("no_worse"))
+
+
+def plot_score_hist(spark, d):
+    out = V.histogram(_clusters(spark, d), "score")
+    return out.withColumns({c: F.round(c, 9) for c in ("lo", "hi")})
+
+
+def chain_names(spark, d):
+    """Usual and unusual spellings of every contig's chain."""
+    k = F.col("ord") % 4
+    spelt = F.when(k == 0, F.lower("chain")).when(k == 1, F.element_at(F.create_map(*[F.lit(x) for x in ("IGH", "Heavy", "IGK", "Kappa", "IGL", "lambda")]), F.col("chain"))).when(k == 2, F.concat(F.lit("tr"), "chain")).otherwise(F.col("chain"))
+    rows = X.contigs(spark, d).withColumn("name", spelt)
+    chain = S.standardise_chain(F.col("name"))
+    return rows.select("cell_id", "ord", "name", chain.alias("chain"), S.chain_type(chain).alias("chain_type"))
+
+
+def sampled_edges(spark, d):
+    """Edges among a seeded sample, as many sequences as that allows; the same ones again."""
+    few = _edges(spark, d, scoring="hamming", subsample=50)
+    ends = few.select(F.explode(F.array("cdr3_1", "cdr3_2")).alias("s")).distinct()
+    every = _edges(spark, d, scoring="hamming").select("seq_id_1", "seq_id_2")
+    odd = few.join(every, ["seq_id_1", "seq_id_2"], "left_anti").agg(F.count("*").alias("n_new"))
+    again = few.join(_edges(spark, d, scoring="hamming", subsample=50).select("seq_id_1", "seq_id_2"), ["seq_id_1", "seq_id_2"], "left_anti").agg(F.count("*").alias("n_changed"))
+    return ends.agg((F.count("*") <= 50).alias("within")).crossJoin(odd).crossJoin(again)
+
+
+def synthetic_profile(spark, d):
+    """What every synthetic background has: its size, shape, genes and lengths."""
+    rows = synthetic_sequences(spark, 20_000)
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(F.col("cdr3_aa").rlike("^C[ACDEFGHIKLMNPQRSTVWY]+W$")).alias("n_shaped"), F.count_distinct("v_gene").alias("v_genes"),
+        F.count_distinct("j_gene").alias("j_genes"), F.min(F.length("cdr3_aa")).alias("shortest"), F.max(F.length("cdr3_aa")).alias("longest"), F.round(F.avg(F.length("cdr3_aa")), 0).alias("mean_length"),
+    )
+
+
+def cost_matrix(spark, d):
+    return spark.createDataFrame([(a, b, c) for (a, b), c in sorted(costs.cost_matrix().items())], "a string, b string, cost double")
+
+
+def missing_columns(spark, d):
+    """What validation says of a table that lacks columns, for each column that it needs."""
+    rows, said = X.contigs(spark, d), []
+    for c in P.REQUIRED:
+        try:
+            P.validate(rows.drop(c))
+            said.append((c, "accepted"))
+        except ValueError as e:
+            said.append((c, str(e)))
+    return spark.createDataFrame(said, "missing string, said string")
+
+
+# -- sources and sinks: the fixture written in each format and loaded again -----------------
+
+
+def _fixture_table(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs in their order, in one file, with what loaders look at: cells, productive flags, null clones."""
+    k = (F.col("ord") / 2).cast("long")
+    rows = X.contigs(spark, d).withColumns({"k": k, "is_cell": F.when(k % 13 == 0, "False").otherwise("True"), "productive": F.when(k % 17 == 0, "None").when(k % 19 == 0, "false").otherwise("True")})
+    return rows.coalesce(1).sortWithinPartitions("ord")
+
+
+LOADED = ("cell_id", "sample_id", "chain", "chain_type", "v_gene", "j_gene", "cdr3_aa", "clone_id")
+
+
+def load_10x(spark, d):
+    path = shared_path(spark, "tenx")
+    barcode = F.concat(F.lit("b"), F.floor(F.col("k") / 2).cast("string"))  # two cells share one, so some cells have two heavy contigs
+    rows = _fixture_table(spark, d).select(barcode.alias("barcode"), "is_cell", "chain", "v_gene", "j_gene", F.col("cdr3_aa").alias("cdr3"), F.nullif("clone_id", F.lit("")).alias("raw_clonotype_id"), "productive")
+    rows.write.option("header", True).csv(path)
+    return R.load_10x(spark, _as_sample(spark, path), "T").select(*LOADED)
+
+
+def _as_sample(spark: SparkSession, folder: str) -> str:
+    """The folder's parts gathered under the name that the loader looks for."""
+    target = f"{folder}-sample/outs/{R.TEN_X}"
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(Path(f"{folder}-sample/outs"))
+    fs.rename(Path(folder), Path(target))
+    return f"{folder}-sample"
+
+
+def load_airr(spark, d):
+    path = shared_path(spark, "airr")
+    rows = _fixture_table(spark, d).select("cell_id", F.col("chain").alias("locus"), F.col("v_gene").alias("v_call"), F.col("j_gene").alias("j_call"), F.col("cdr3_aa").alias("junction_aa"), "clone_id", "productive")
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    return R.load_airr(spark, path, "A").select(*LOADED)
+
+
+def load_combined(spark, d):
+    """Two tables, the second without light chains and with other columns."""
+    rows = _fixture_table(spark, d)
+    dotted = lambda kind: F.concat_ws(".", F.nullif("v_gene", F.lit("None")), F.when(F.lit(kind == "heavy"), F.lit("IGHD1-1")), "j_gene", "cdr3_aa")
+    heavy = rows.filter("chain_type = 'heavy'").select("ord", "k", "cell_id", "clone_id", dotted("heavy").alias("IGH"))
+    light = rows.filter("chain_type = 'light'").select("k", dotted("light").alias("IGLC"))
+    one = heavy.filter("k % 2 = 0").join(light, "k", "left").select("ord", F.col("cell_id").alias("barcode"), "IGH", "IGLC", F.col("clone_id").alias("CTstrict"))
+    two = heavy.filter("k % 2 = 1").select("ord", F.col("cell_id").alias("barcode"), "IGH", F.lit("more").alias("extra"), F.col("clone_id").alias("CTstrict"))
+    return R.load_combined([one.drop("ord"), two.drop("ord")], ["X", "Y"]).select(*LOADED, "d_gene")
+
+
+def _units(spark: SparkSession, d: str) -> str:
+    """The background as gzipped units: a line of metadata, a header, rows; some of them with other letters."""
+    path = shared_path(spark, "units")
+    rows = X.background(spark, d).select((F.col("seq_id") % 3).alias("part"), F.col("seq_id"), "cdr3_aa")
+    dirty = F.when(F.col("seq_id") % 29 == 0, F.concat("cdr3_aa", F.lit("X"))).otherwise(F.col("cdr3_aa"))
+    lines = rows.select("part", (F.col("seq_id") + 2).alias("at"), F.concat_ws(",", F.lit("H"), dirty, F.concat(F.lit("IGHV"), (F.col("seq_id") % 5).cast("string")), F.lit("IGHJ4")).alias("value"))
+    head = spark.createDataFrame([(p, i, v) for p in range(3) for i, v in enumerate(['"{""Run"": 1}"', "locus,cdr3_aa,v_call,j_call"])], "part long, at long, value string")
+    for p in range(3):
+        both = head.filter(F.col("part") == p).unionByName(lines.filter(F.col("part") == p))
+        both.coalesce(1).sortWithinPartitions("at").select("value").write.option("compression", "gzip").text(f"{path}/{p}")
+    return f"{path}/*/*.gz"
+
+
+def load_units(spark, d):
+    return REF.read_sequences(spark, _units(spark, d), None, max_lines=None)
+
+
+def sampled_units(spark, d):
+    """A sample of a given size is that many of the sequences."""
+    paths, n = _units(spark, d), 500
+    few = written(REF.read_sequences(spark, paths, n, max_lines=None), "sample")
+    odd = few.join(REF.read_sequences(spark, paths, None, max_lines=None), "cdr3_aa", "left_anti").agg(F.count("*").alias("n_odd"))
+    return few.agg(F.count("*").alias("n")).crossJoin(odd)
+
+
+def load_epitopes(spark, d):
+    """Known sequences as epitope JSON, from the cache; half of them are positive linear peptides of one organism."""
+    path = shared_path(spark, "epitopes")
+    k = F.row_number().over(Window.orderBy("pdb_id"))  # a hundredth of the suppliers' rows
+    rows = X.known(spark, d).select(
+        k.alias("structure_id"), F.concat(F.lit("PEP"), k.cast("string")).alias("linear_sequence"), F.col("antigen").alias("parent_source_antigen_name"), F.coalesce("organism", F.lit("other")).alias("source_organism_name"),
+        F.split("cdr3h", ";").alias("receptor_chain1_cdr3_seqs"), F.array().cast("array<string>").alias("receptor_chain2_cdr3_seqs"), "pdb_id", F.lit("binding").alias("assay_names"),
+        F.when(k % 3 == 0, "Negative").otherwise("Positive").alias("qualitative_measure"), F.lit("Linear peptide").alias("structure_type"),
+    )
+    # A page of the download is one array.
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(path)
+    return REF.cached_epitopes(spark, shared_path(spark, "cache"), path, "ORGANISM_A", None)
+
+
+def load_structures(spark, d):
+    path = shared_path(spark, "structures")
+    rows = X.known(spark, d).select(F.col("pdb_id").alias("PDB"), F.col("cdr3h").alias("Hchain_cdr3"), F.col("antigen").alias("antigen_name"), F.lit("2.5").alias("resolution"))
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    return REF.cached_structures(spark, shared_path(spark, "cache"), path)
+
+
+def known_union(spark, d):
+    """Both sources as one table of what is known."""
+    epitopes = spark.createDataFrame([], EPITOPES).unionByName(X.known(spark, d).filter("source = 'IEDB'").drop("source"), allowMissingColumns=True)
+    structures = spark.createDataFrame([], STRUCTURES).unionByName(X.known(spark, d).filter("source = 'SAbDab'").drop("source", "organism"), allowMissingColumns=True)
+    return A.known_specificities(epitopes, structures)
+
+
+def reference_round_trip(spark, d):
+    """The reference of a species: built by the command line's entry from units, saved, loaded again."""
+    folder = shared_path(spark, "reference")
+    build_references.main(["--species", "mouse", "--n", "100000000", "--units", _units(spark, d), "--out", folder, "--cache", f"{folder}-cache"])
+    rows = REF.load_reference(spark, folder, "mouse").kmer_freq
+    return rows.select("k", "kmer", "count", F.round("freq", 12).alias("freq"), F.round("per_seq", 12).alias("per_seq"), "n_total")
+
+
+def export_round_trip(spark, d):
+    """The cluster table as CSV, read again."""
+    membership = written(_membership(spark, d), "membership")
+    clusters = written(C.summarise(membership, P.collapse_clones(_filtered(spark, d))), "clusters")
+    paths = export_clusters(C.Result(clusters, membership, membership, membership.limit(0)), "run", shared_path(spark, "export"))
+    rows = spark.read.option("header", True).csv(paths[0])
+    kinds = dict(clusters.dtypes)
+    return rows.select("cluster_id", *[F.col(c).cast(kinds[c]) for c in ("n_members", "n_heavy", "n_light", "n_clones", "n_samples")], "cdr3h_consensus", "top_vh", "top_jh", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+def export_membership(spark, d):
+    membership = written(_membership(spark, d), "membership")
+    clusters = written(C.summarise(membership, P.collapse_clones(_filtered(spark, d))), "clusters")
+    paths = export_clusters(C.Result(clusters, membership, membership, membership.limit(0)), "run", shared_path(spark, "export"))
+    return spark.read.option("header", True).csv(paths[1])
 
 
 QUERIES: dict[str, Query] = {
@@ -301,6 +591,10 @@ QUERIES: dict[str, Query] = {
         global_weighted, global_gapped, global_multiplicity, global_paired, edge_combine, components, star_components, cluster_size_filter,
         network_vertices, cluster_sequences, vgene_fisher, cluster_summary, cluster_score, known_specificity, annotate_exact,
         annotate_near, plot_vgene_usage, plot_motif_bars, plot_size_hist, plot_samples, plot_size_diversity, summary_stats,
-        top_clusters, louvain, synthetic_reference, network_layout, full_pipeline,
+        top_clusters, louvain, synthetic_reference, network_layout, full_pipeline, full_pipeline_membership, full_pipeline_motifs,
+        full_pipeline_annotations, cluster_order, cluster_rescored, cluster_composite, cluster_composite_empty, edge_motifs, louvain_cliques,
+        louvain_modularity, network_annotated, network_drawn, plot_score_hist, chain_names, sampled_edges, synthetic_profile, cost_matrix, missing_columns,
+        load_10x, load_airr, load_combined, load_units, sampled_units, load_epitopes, load_structures, known_union, reference_round_trip, export_round_trip,
+        export_membership,
     )
 } | {f"kmer_background_k{k}": _kmer_background(k) for k in KMER_SIZES} | {f"adjust_{m.lower()}": _correction(m) for m in ("none", "bonferroni", "holm", "hochberg", "BH", "BY", "hommel")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cdrspark.functions.constants import FREE_PAIRS, GROUPS, HALF_PAIRS
+from cdrspark.functions.constants import AMINO_ACIDS, FREE_PAIRS, GROUPS, HALF_PAIRS
 from cdrspark.plans.catalogue import CHAIN_TEXTS, CONTIG_COLUMNS, NAMES
 from cdrspark.plans.fixtures import oracle_ctes
 
@@ -57,11 +57,8 @@ def _components(pairs: str) -> tuple[str, ...]:
     )
 
 
-MEMBERSHIP = (
-    *HAMMING,
-    *_components("select seq_id_1 as u, seq_id_2 as v from e"),
-    "m as (select cell_id, concat('cluster_', comp) as cluster_id from lab where comp in (select comp from lab group by comp having count(*) >= 3))",
-)
+LARGE = "m as (select cell_id, concat('cluster_', comp) as cluster_id from lab where comp in (select comp from lab group by comp having count(*) >= 3))"
+MEMBERSHIP = (*HAMMING, *_components("select seq_id_1 as u, seq_id_2 as v from e"), LARGE)
 
 COLLAPSED = (
     "rep as (select * exclude (n) from (select *, row_number() over (partition by clone_id, chain_type order by ord) as n from f where clone_id is not null and clone_id <> '') where n = 1)",
@@ -89,8 +86,7 @@ def _log10(p: str) -> str:
     return f"round(log10(greatest({p}, 1e-300)), 6)"
 
 
-CLUSTERS = (
-    *MEMBERSHIP,
+SUMMARY = (
     *COLLAPSED,
     "j as (select m.cluster_id, col.* from m left join col using (cell_id))",
     _mode("v_gene", "topv"),
@@ -126,17 +122,20 @@ CLUSTERS = (
          + 0.15e0 * least(-log10(p + 1e-300) / 50, 1e0) + 0.15e0 * greatest(1 - sd_len / 5, 0e0), 4) as score
   from cl)""",
 )
+CLUSTERS = (*MEMBERSHIP, *SUMMARY)
+CLUSTER_COLUMNS = """cluster_id, n_members, n_heavy, n_light, n_clones, n_samples, cdr3h_consensus, round(mean_len, 9) as cdr3h_len_mean, round(sd_len, 9) as cdr3h_len_sd, top_vh, top_jh,
+       vh_enriched_gene, round(clonal_diversity, 9) as clonal_diversity, round(sample_diversity, 9) as sample_diversity"""
 
 
 def _kmer_list(seq: str, k: str) -> str:
     return f"list_transform(range(1, length({seq}) - {k} + 2), lambda i: substr({seq}, cast(i as int), {k}))"
 
 
-def _background(ks: tuple[int, ...] = (4, 5)) -> tuple[str, ...]:
-    each = " union all ".join(f"select {k} as k, seq_id, unnest({_kmer_list('cdr3_aa', str(k))}) as kmer from bg where length(cdr3_aa) >= 5" for k in ks)
+def _background(ks: tuple[int, ...] = (4, 5), table: str = "bg") -> tuple[str, ...]:
+    each = " union all ".join(f"select {k} as k, seq_id, unnest({_kmer_list('cdr3_aa', str(k))}) as kmer from {table} where length(cdr3_aa) >= 5" for k in ks)
     return (
         f"bk as ({each})",
-        "bt as (select count(*) as n_total from bg where length(cdr3_aa) >= 5)",
+        f"bt as (select count(*) as n_total from {table} where length(cdr3_aa) >= 5)",
         """bf as (
   select k, kmer, count(*) as count, count(*) / sum(count(*)) over (partition by k) as freq,
          count(distinct seq_id) / (select n_total from bt) as per_seq, (select n_total from bt) as n_total
@@ -200,8 +199,7 @@ KNOWN = """kn as (
   select trim(part) as cdr3h, cdr3l, antigen, organism, source, pdb_id,
          regexp_replace(regexp_replace(upper(trim(part)), '^C', ''), '[WF]$', '') as cdr3h_canon
   from (select *, unnest(string_split(cdr3h, ';')) as part from known) where length(trim(part)) > 0)"""
-ANNOTATED = (
-    *MEMBERSHIP,
+MATCHED = (
     KNOWN,
     "cs as (select distinct cluster_id, cdr3_aa as query_cdr3, regexp_replace(regexp_replace(upper(trim(cdr3_aa)), '^C', ''), '[WF]$', '') as canon from m join f using (cell_id) where chain_type = 'heavy')",
     "ex as (select cluster_id, query_cdr3, cdr3h as match_cdr3, 'exact' as match_type, 0e0 as distance, antigen, organism, source, pdb_id from cs join kn on canon = cdr3h_canon)",
@@ -210,6 +208,7 @@ ANNOTATED = (
   from cs join kn on abs(length(canon) - length(cdr3h_canon)) <= 1
   where canon not in (select cdr3h_canon from kn))""",
 )
+ANNOTATED = (*MEMBERSHIP, *MATCHED)
 
 
 def _adjust(value: str) -> str:
@@ -225,6 +224,31 @@ BEFORE = "over (order by p, s_suppkey rows between unbounded preceding and curre
 PARTS = "list_filter(string_split(text, '.'), lambda t: {})[-1]"
 V_RULE, D_RULE, J_RULE = ("regexp_matches(t, '^IG[HKL]V')", "regexp_matches(t, '^IGHD')", "regexp_matches(t, '^IG[HKL]J')")
 
+#: The whole pipeline: contigs, enriched motifs of one length, weighted edges, clusters of stars and edges.
+WHOLE = (
+    *_members(5),
+    _seqs("heavy"), _edges("abs(length(a.seq) - length(b.seq)) <= 1", _weighted("a.seq", "b.seq"), "<= 0.5"),
+    *_components("select seq_id_1 as u, seq_id_2 as v from e union all select a.cell_id, b.cell_id from mem a join mem b on a.motif = b.motif and a.ord < b.ord"),
+    LARGE,
+)
+
+
+def _cliques() -> str:
+    """Cells and the smallest cell of their forty."""
+    name = "concat('n', lpad(cast({} as varchar), 12, '0'))"
+    return f"select {name.format('p_partkey')} as cell_id, {name.format('min(p_partkey) over (partition by p_partkey // 40)')} as community from part"
+
+
+def _loaded(cell: str, sample: str, productive: str, clone: str, where: str = "true") -> str:
+    return f"select {cell} as cell_id, '{sample}' as sample_id, chain, chain_type, v_gene, j_gene, cdr3_aa, {clone} as clone_id from x where {productive} and {where}"
+
+
+#: The contigs with the flags that the readers look at.
+SPELT = """x as (
+  select *, ord // 2 as k, (ord // 2) % 13 <> 0 as is_cell, (ord // 2) % 17 <> 0 and (ord // 2) % 19 <> 0 as ok, row_number() over (order by ord) as n from bcr)"""
+CLEAN = "regexp_matches(cdr3_aa, '^[ACDEFGHIKLMNPQRSTVWY]+$')"
+DIRTY = "ub as (select seq_id, case when seq_id % 29 = 0 then concat(cdr3_aa, 'X') else cdr3_aa end as cdr3_aa from bg)"
+
 ORACLE_SQL: dict[str, str] = {
     "bcr_filter": _query(f"select {', '.join(CONTIG_COLUMNS)} from f"),
     "standardise_chain": f"""
@@ -279,12 +303,10 @@ select cell_1, cell_2, round(-minus, 6) as weight, case when type = 0 then 'loca
     "cluster_sequences": _query("select distinct cluster_id, cdr3_aa as query_cdr3 from m join f using (cell_id) where chain_type = 'heavy'", *MEMBERSHIP),
     "vgene_fisher": _query(f"select cluster_id, {_log10('p')} as log_p, gene as vh_enriched_gene from fp", *CLUSTERS),
     "cluster_summary": _query(
-        """
-select cluster_id, n_members, n_heavy, n_light, n_clones, n_samples, cdr3h_consensus, round(mean_len, 9) as cdr3h_len_mean, round(sd_len, 9) as cdr3h_len_sd, top_vh, top_jh,
-       vh_enriched_gene, round(clonal_diversity, 9) as clonal_diversity, round(sample_diversity, 9) as sample_diversity from cl""",
+        f"select {CLUSTER_COLUMNS} from cl",
         *CLUSTERS,
     ),
-    "cluster_score": _query("select cluster_id, round(score, 3) as score from sc", *CLUSTERS),
+    "cluster_score": _query("select cluster_id, score from sc", *CLUSTERS),
     "known_specificity": _query("select * from kn where length(cdr3h_canon) > 0", KNOWN),
     "annotate_exact": _query("select * from ex", *ANNOTATED),
     "annotate_near": _query("select * replace (round(distance, 6) as distance) from nr where distance <= 1", *ANNOTATED),
@@ -304,13 +326,91 @@ select count(*) as n_clusters, min(n_members) as min_size, max(n_members) as max
        count(*) filter (where n_samples > 1) as n_multi_sample, (select count(*) from m) as n_cells, cast(0 as bigint) as n_annotated from cl""",
         *CLUSTERS,
     ),
-    "top_clusters": _query("select cluster_id, n_members, n_clones, n_samples, cdr3h_consensus, top_vh, round(score, 3) as score from sc order by sc.score desc, cluster_id limit 20", *CLUSTERS),
+    "top_clusters": _query("select cluster_id, n_members, n_clones, n_samples, cdr3h_consensus, top_vh, score from sc order by sc.score desc, cluster_id limit 20", *CLUSTERS),
     "adjust_none": _adjust("p"),
     "adjust_bonferroni": _adjust("least(1e0, p * m)"),
     "adjust_holm": _adjust(f"least(1e0, max(p * (m - rn + 1)) {BEFORE})"),
     "adjust_hochberg": _adjust(f"least(1e0, min(p * (m - rn + 1)) {BEHIND})"),
     "adjust_bh": _adjust(f"least(1e0, min(p * m / rn) {BEHIND})"),
     "adjust_by": _adjust(f"least(1e0, min(list_sum(list_transform(range(1, m + 1), lambda i: 1e0 / i)) * p * m / rn) {BEHIND})"),
+    "adjust_hommel": _adjust("(select max(least(b, j * r.p)) from (select j, min(j * r2.p / (r2.rn - (m - j))) as b from (select unnest(range(1, (select count(*) from p) + 1)) as j), r r2 where r2.rn > r2.m - j group by j))"),
+    "full_pipeline": _query(f"select {CLUSTER_COLUMNS}, {_log10('p')} as log_p, score from sc", *WHOLE, *SUMMARY),
+    "full_pipeline_membership": _query("select cell_id, cluster_id from m", *WHOLE),
+    "full_pipeline_motifs": _query(
+        f"select {SHOWN}, {_log10('pa')} as log_p_adj, (select string_agg(cell_id, ';' order by mem.ord) from mem where mem.motif = kept.motif) as member_ids, row_number() over (order by pa, kind, chain, k, motif) as ord from kept",
+        *_members(5),
+    ),
+    "full_pipeline_annotations": _query("select * replace (round(distance, 6) as distance) from (select * from ex union all select * from nr where distance <= 1)", *WHOLE, *MATCHED),
+    "cluster_order": _query("select cluster_id, row_number() over (order by score desc, cluster_id) as ord, score from sc", *CLUSTERS),
+    "cluster_rescored": _query(
+        """
+select cluster_id, row_number() over (order by again desc, cluster_id) as ord, again as score from (
+  select cluster_id, round(0.2e0 * log2(n_members + 1) / 10 + 0.25e0 * clonal_diversity + 0.25e0 * 0.5e0 + 0.15e0 * least(-log10(p + 1e-300) / 50, 1e0) + 0.15e0 * greatest(1 - sd_len / 5, 0e0), 4) as again from cl)""",
+        *CLUSTERS,
+    ),
+    "cluster_composite": _query("select cluster_id, n_members, n_heavy, n_light, n_clones, score from sc", *CLUSTERS),
+    "cluster_composite_empty": _query(
+        """select cluster_id, n_members, n_heavy, n_light, n_clones, n_samples, cdr3h_consensus, mean_len as cdr3h_len_mean, sd_len as cdr3h_len_sd, top_vh, top_jh, p as vh_enrichment_p,
+       vh_enriched_gene, clonal_diversity, sample_diversity, score from sc where false""",
+        *CLUSTERS,
+    ),
+    "edge_motifs": _query(
+        """
+select seq_id_1, seq_id_2, round(-minus, 6) as weight, case when type = 0 then 'local_motif' else 'global_similarity' end as edge_type, motif from (
+  select *, row_number() over (partition by least(seq_id_1, seq_id_2), greatest(seq_id_1, seq_id_2) order by minus, type, pa, motif, ord_1, ord_2, seq_id_1, seq_id_2) as n from u) where n = 1""",
+        *_members(5), *HAMMING,
+        """u as (
+  select a.cell_id as seq_id_1, b.cell_id as seq_id_2, -1e0 as minus, 0 as type, a.pa, a.motif, a.ord as ord_1, b.ord as ord_2 from mem a join mem b on a.motif = b.motif and a.ord < b.ord
+  union all select seq_id_1, seq_id_2, -1e0 / (1e0 + distance), 1, null, null, null, null from e)""",
+    ),
+    "louvain_cliques": _cliques(),
+    "louvain_modularity": _query("select count(*) as n_cells, cast(1 as bigint) as components_each, true as no_worse from lab", *HAMMING, *_components("select seq_id_1 as u, seq_id_2 as v from e")),
+    "network_annotated": _query("select lab.cell_id, coalesce(m.cluster_id, 'unassigned') as cluster, coalesce(m.cluster_id in (select cluster_id from ex), false) as annotated from lab left join m using (cell_id)", *ANNOTATED),
+    "network_drawn": _query("select 'global_similarity' as type, count(*) as n from e union all select 'labels', count(distinct cluster_id) from m", *MEMBERSHIP),
+    "plot_score_hist": _query(
+        """
+select bin, round(lo + (bin - 1) * width, 9) as lo, round(lo + (bin - 1) * width + width, 9) as hi, (select count(*) from sc where least(cast(floor((score - lo) / width) as int) + 1, 30) = bin) as n
+from (select min(score) as lo, case when max(score) > min(score) then (max(score) - min(score)) / 30 else 1e0 end as width from sc), (select unnest(range(1, 31)) as bin)""",
+        *CLUSTERS,
+    ),
+    "chain_names": _query("""
+select cell_id, ord, name, case when name in ('trIGH', 'trIGK', 'trIGL') then upper(name) else chain end as chain, case when name like 'tr%' then 'light' else chain_type end as chain_type from (
+  select *, case ord % 4 when 0 then lower(chain) when 1 then case chain when 'IGH' then 'Heavy' when 'IGK' then 'Kappa' else 'lambda' end when 2 then concat('tr', chain) else chain end as name from bcr)"""),
+    "sampled_edges": "select true as within, cast(0 as bigint) as n_new, cast(0 as bigint) as n_changed",
+    "synthetic_profile": "select cast(20000 as bigint) as n, cast(20000 as bigint) as n_shaped, cast(20 as bigint) as v_genes, cast(6 as bigint) as j_genes, 8 as shortest, 25 as longest, 15e0 as mean_length",
+    "cost_matrix": f"""
+with aa as (select unnest(string_split('{" ".join(AMINO_ACIDS)}', ' ')) as c)
+select x.c as a, y.c as b, {_cost('x.c', 'y.c')} as cost from aa x, aa y""",
+    "missing_columns": "select unnest(['cell_id', 'sample_id', 'chain_type', 'v_gene', 'j_gene', 'cdr3_aa', 'clone_id']) as missing, concat('missing columns: ', missing) as said",
+    "load_10x": _query(
+        _loaded("concat('T_b', cast(k // 2 as varchar))", "T", "first", "concat('T_', coalesce(nullif(clone_id, ''), 'NA'))"),
+        SPELT.replace("x as (", "x0 as (", 1),
+        "x as (select *, row_number() over (partition by k // 2, chain_type order by ord) = 1 as first from x0 where is_cell and ok)",
+    ),
+    "load_airr": _query(_loaded("concat('A_', cell_id)", "A", "ok", "concat('A_', coalesce(clone_id, 'NA'))"), SPELT),
+    "load_combined": _query(
+        """
+select x.cell_id, case when k % 2 = 0 then 'X' else 'Y' end as sample_id, chain, chain_type, case when v_gene <> 'None' then v_gene end as v_gene, j_gene, cdr3_aa, h.clone_id, case when chain = 'IGH' then 'IGHD1-1' end as d_gene
+from (select * replace (case when chain_type = 'light' and not starts_with(coalesce(v_gene, ''), 'IGK') then 'IGL' else chain end as chain) from x) x
+join (select cell_id, clone_id from bcr where chain_type = 'heavy') h using (cell_id)
+where (chain_type = 'heavy' or k % 2 = 0) and length(cdr3_aa) > 5""",
+        SPELT,
+    ),
+    "load_units": _query(f"select cdr3_aa, concat('IGHV', cast(seq_id % 5 as varchar)) as v_gene, 'IGHJ4' as j_gene, 'IGH' as chain from ub where {CLEAN}", DIRTY),
+    "sampled_units": "select cast(500 as bigint) as n, cast(0 as bigint) as n_odd",
+    "load_epitopes": _query(
+        """
+select concat('PEP', cast(n as varchar)) as epitope_seq, antigen, organism, cdr3h, cast(null as varchar) as cdr3l, 'binding' as assay, pdb_id
+from (select *, row_number() over (order by pdb_id) as n from known) where n % 3 <> 0 and organism = 'organism_a'"""
+    ),
+    "load_structures": _query("select pdb_id, cdr3h, cast(null as varchar) as cdr3l, antigen, cast(null as varchar) as antigen_type, cast(null as varchar) as vh, cast(null as varchar) as vl, '2.5' as resolution from known"),
+    "known_union": _query("select * replace (case when source = 'IEDB' then organism end as organism) from kn where length(cdr3h_canon) > 0", KNOWN),
+    "reference_round_trip": _query(
+        "select k, kmer, count, round(freq, 12) as freq, round(per_seq, 12) as per_seq, n_total from bf",
+        DIRTY, f"uc as (select * from ub where {CLEAN})", *_background(table="uc"),
+    ),
+    "export_round_trip": _query("select cluster_id, n_members, n_heavy, n_light, n_clones, n_samples, cdr3h_consensus, top_vh, top_jh, score from sc", *CLUSTERS),
+    "export_membership": _query("select cell_id, cluster_id from m", *MEMBERSHIP),
 } | {
     f"kmer_background_k{k}": _query(f"select k, kmer, count, round(freq, 12) as freq, round(per_seq, 12) as per_seq, n_total from bf where k = {k}", *_background())
     for k in (4, 5)

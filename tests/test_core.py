@@ -114,10 +114,10 @@ def test_kernel_matches_definition():
 
 
 @pytest.mark.parametrize("scoring", ["weighted", "hamming"])
-@pytest.mark.parametrize("budget", [0.5, 1.0, 2.0])
+@pytest.mark.parametrize("budget", [0.0, 0.5, 1.0, 2.0])
 def test_join_matches_all_pairs(spark, scoring, budget):
     rng = random.Random(3)
-    base = ["".join(rng.choice("ARDGSTWYVK") for _ in range(rng.randint(5, 13))) for _ in range(12)]
+    base = ["".join(rng.choice("ARDGSTWYVKMILE") for _ in range(n)) for n in (*(rng.randint(5, 13) for _ in range(10)), 24, 35)]
     seqs = set(base)
     while len(seqs) < 160:
         s = list(rng.choice(base))
