@@ -10,11 +10,14 @@ m / (a + b - m), an ordered Jaccard similarity, and 0.8 makes a link. Classes ar
 With KEPT = 5 and SKETCHES = 28, a pair at exactly 0.8 shares no sketch with probability 2e-5, while one at 0.3
 shares one with 0.07. Texts of at most 50 shingles have 12 sketches of 2 kept ones (2e-5 too).
 
-No bucket is paired with itself. Texts with equal words are one node. Of a bucket every member is verified against
+Texts with equal words are one node. Of a bucket every member is verified against
 the most central one, the others outside its component against the most central of them; what is then still in several
-components is verified member by member, but never inside the bucket's main component; in large buckets only pairs that
-can have enough shingles in common, found by their rare shingles. So every link between texts that share a sketch is
-inside a class, whatever the size of a group.
+components is compared member by member, but never inside the bucket's main component. In large buckets pairs that need a
+rare shingle in common are found by it; of the others only members take part whose frequent shingles alone are enough for some
+partner, in parts of bounded size. Pairs are aligned only if a sketch of 128 bins says that they can be a link (one at 0.8
+fails with probability 1e-6). So links between texts that share a sketch are inside a class, whatever the size of a group. Pages
+made of a few frequent blocks have many pairs just below the threshold, and the comparisons (not the alignments) of such
+a group grow with the square of a bucket.
 
 Defined results: words are runs of letters, digits and underscores in lower case; a text of fewer than 5 words (not
 none) is one shingle; texts without a word (null, empty, only marks) are one class; class_id is the smallest doc_id of
@@ -40,10 +43,14 @@ from cdrspark.operators.graph import components
 SHINGLE, KEPT, SKETCHES = 5, 5, 28
 #: Short texts: fewer kept shingles, so that those of near copies can all be common ones.
 SHORT_KEPT, SHORT_SKETCHES, SHORT_TO, LONG_FROM = 2, 12, 50, 40
-#: A pair is verified only if so many of the SKETCHES smallest shingles agree; one at 0.8 fails with probability 1e-5.
-AGREEING = 11
 #: Members of a bucket, and nodes of a shingle, that are paired with each other without more conditions.
 LARGE = 64
+#: Members of a large bucket that one task compares with all its others, about.
+PART = 4096
+#: Keys that are sent to every executor at most: those with the most rows.
+SENT_KEYS = 100_000
+#: Bins of the sketch that decides on alignment (a byte each), and by how many standard deviations it may fall short.
+BINS, DEVIATIONS = 128, 4.9
 WORD = re.compile(r"\w+")
 REMEMBERED = 200_000
 
@@ -94,14 +101,14 @@ def _kept_in_order(h: np.ndarray, at: np.ndarray, salts: np.ndarray) -> np.ndarr
     return total
 
 
-def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sketches (signed 64 bits, none for no shingles), and a byte of the smallest shingle of each order.
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The sketches (signed 64 bits, none for no shingles).
 
     Texts of LONG_FROM shingles or more have SKETCHES long ones, of SHORT_TO or fewer SHORT_SKETCHES short ones; two
     texts that differ by at most a fifth in size have a kind in common."""
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(SKETCHES, np.uint8)
-    least, out = np.empty(SKETCHES, np.uint8), []
+        return np.zeros(0, np.int64)
+    out = []
     step = max(1, 400_000 // len(h))
     for lo in range(0, SKETCHES, step):
         number = np.arange(lo, min(SKETCHES, lo + step))
@@ -112,13 +119,23 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             kept = min(KEPT if len(h) >= LONG_FROM else SHORT_KEPT, len(h))
             at = np.argpartition(values, kept - 1, axis=1)[:, :kept] if kept < len(h) else np.broadcast_to(np.arange(kept), (len(number), kept))
             ranked = np.take_along_axis(at, np.argsort(np.take_along_axis(values, at, 1), axis=1), 1)
-            least[number] = (h[ranked[:, 0]] >> np.uint64(17)).astype(np.uint8)
             if len(h) >= LONG_FROM:
                 out.append(_kept_in_order(h, ranked, number))
             if len(h) <= SHORT_TO and lo < SHORT_SKETCHES:
                 few = number[number < SHORT_SKETCHES]
                 out.append(_kept_in_order(h, ranked[: len(few), :SHORT_KEPT], few + SKETCHES))
-    return np.concatenate(out).view(np.int64), least
+    return np.concatenate(out).view(np.int64)
+
+
+def binned(h: np.ndarray) -> np.ndarray:
+    """A byte for the smallest shingle in each of BINS equal parts of a hash's range, 0 for an empty one; as longs."""
+    out = np.zeros(BINS, np.uint8)
+    if len(h):
+        value = np.sort(mixed(h, 8))
+        part = (value >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        out[part[first]] = 1 + (value[first] >> np.uint64(8)) % np.uint64(255)
+    return out.view(np.int64)
 
 
 def longest_rise(values: np.ndarray) -> int:
@@ -155,34 +172,58 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def prepared(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """docs (without text unless keep), with uid (a number for each row), fp (words' digest), n (shingles), sketches, sig (four longs with a byte
-    for each order's smallest shingle) and words (32-bit ids); written to the shared folder."""
+    """docs (without text unless keep), with uid (a number for each row), fp (words' digest), n (shingles), sketches, bins and words (32-bit
+    ids); written to the shared folder."""
 
     def start():
         def run(texts: list) -> dict[str, list]:
-            out: dict[str, list] = {"fp": [], "n": [], "sketches": [], "sig": [], "words": []}
+            out: dict[str, list] = {"fp": [], "n": [], "sketches": [], "bins": [], "words": []}
             for text in texts:
                 words = words_of(text)
                 h = labelled(words)
-                own, least = sketch(h)
                 raw = words.tobytes()
                 out["fp"].append(hashlib.blake2b(raw, digest_size=16).digest())
                 out["n"].append(len(h))
-                out["sketches"].append(own)
-                out["sig"].append(np.pad(least, (0, 32 - SKETCHES)).view(np.int64))
+                out["sketches"].append(sketch(h))
+                out["bins"].append(binned(h))
                 out["words"].append(raw)
             return out
 
         return run
 
-    made = {"fp": "binary", "n": "int", "sketches": "array<long>", "sig": "array<long>", "words": "binary"}
+    made = {"fp": "binary", "n": "int", "sketches": "array<long>", "bins": "array<long>", "words": "binary"}
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {*made, "uid"}])
     return written(from_texts(own, made, start, keep=keep, memory="words").withColumn("uid", F.monotonically_increasing_id()), "omh")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with a table of different keys, whatever share of the rows has one key. Keys with more than total /
+    SENT_KEYS rows (in column size, which is dropped), SENT_KEYS at most, are sent to every executor; the others are joined by a shuffle in which none has more."""
+    least = total // SENT_KEYS + 1
+    rest, big = table.filter(F.col(size) <= least).drop(size), table.filter(F.col(size) > least).drop(size)
+    known = rows.join(F.broadcast(big), key)
+    if big.isEmpty():
+        return rows.join(rest, key)
+    return known.unionByName(rows.join(F.broadcast(big.select(key)), key, "left_anti").join(rest, key))
+
+
 def _agreeing(x: Column, y: Column) -> Column:
     """Equal bytes of two longs."""
-    z = x.bitwiseXOR(y)
+    return _zeros(x.bitwiseXOR(y))
+
+
+def _alike(x: str, y: str, least: float) -> Column:
+    """Whether the bins of two texts allow a similarity of `least`: of the bins that are not empty in both as many agree as such
+    a pair has, less DEVIATIONS standard deviations and one."""
+    longs = BINS // 8
+    both_empty = sum((_zeros(F.col(x)[i].bitwiseOR(F.col(y)[i])) for i in range(longs)), F.lit(0))
+    equal = sum((_agreeing(F.col(x)[i], F.col(y)[i]) for i in range(longs)), F.lit(0))
+    used = F.lit(BINS) - both_empty
+    return equal - both_empty >= F.lit(least) * used - F.lit(DEVIATIONS * (least * (1 - least)) ** 0.5) * F.sqrt(used) - 1
+
+
+def _zeros(z: Column) -> Column:
+    """Bytes of a long that are zero."""
     for k in (4, 2, 1):
         z = z.bitwiseOR(F.shiftrightunsigned(z, k))
     return F.lit(8) - F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
@@ -190,11 +231,10 @@ def _agreeing(x: Column, y: Column) -> Column:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """Of pairs (u, v) the links, written to the shared folder."""
-    a = nodes.select(F.col("uid").alias("u"), F.col("n").alias("n_u"), F.col("sig").alias("sig_u"))
-    b = nodes.select(F.col("uid").alias("v"), F.col("n").alias("n_v"), F.col("sig").alias("sig_v"))
+    a = nodes.select(F.col("uid").alias("u"), F.col("n").alias("n_u"), F.col("bins").alias("bins_u"))
+    b = nodes.select(F.col("uid").alias("v"), F.col("n").alias("n_v"), F.col("bins").alias("bins_v"))
     near = pairs.join(a, "u").join(b, "v")
-    agree = sum((_agreeing(F.col("sig_u")[i], F.col("sig_v")[i]) for i in range(4)), F.lit(SKETCHES - 32))
-    near = near.filter(_sizes_fit("n_u", "n_v", least) & (agree >= AGREEING))
+    near = near.filter(_sizes_fit("n_u", "n_v", least) & _alike("bins_u", "bins_v", least))
     near = written(near.select("u", "v"), "omh-pairs")
     # Only the texts that occur in pairs move, and once for both sides.
     used = near.select(F.col("u").alias("uid")).unionByName(near.select(F.col("v").alias("uid"))).distinct()
@@ -271,8 +311,9 @@ def classes(table: DataFrame, least: float = 0.8) -> DataFrame:
 
 def _classes(table: DataFrame, least: float) -> DataFrame:
     words = table.select("uid", "words")
-    best = F.min(F.struct("uid", "n", "sketches", "sig")).alias("r")
-    nodes = written(table.groupBy("fp").agg(best).select("fp", "r.uid", "r.n", "r.sketches", "r.sig"), "omh-nodes")
+    best = F.min(F.struct("uid", "n", "sketches", "bins")).alias("r")
+    nodes = table.groupBy("fp").agg(best, F.count("*").alias("copies"))
+    nodes = written(nodes.select("fp", "copies", "r.uid", "r.n", "r.sketches", "r.bins"), "omh-nodes")
 
     each = nodes.select("uid", F.explode("sketches").alias("b"))
     shared = each.groupBy("b").agg(F.count("*").alias("k")).filter(F.col("k") > 1)
@@ -310,22 +351,31 @@ def _classes(table: DataFrame, least: float) -> DataFrame:
     sizes = held.join(mixed_up, "b", "left_semi").groupBy("b").agg(F.count("*").alias("k"))
     held = written(held.join(sizes, "b").join(heads, "b").select("b", "uid", "comp", "head", "k"), "omh-mixed")
     main = held.filter(F.col("uid") == F.col("head")).select("b", F.col("comp").alias("main"))
-    info = nodes.select("uid", "n", "sig")
+    info = nodes.select("uid", "n")
     frequent, by_rare = _in_large_buckets(held.filter(F.col("k") > LARGE), info, words, least)
-    held = held.join(main, "b").join(info, "uid").join(frequent, "uid", "left")
-    held = written(held.select("b", "uid", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "k", "n", "sig", "frequent"), "omh-mixed")
-    x, y = held.filter(~F.col("is_main")).alias("x"), held.alias("y")
+    held = held.join(main, "b").join(nodes.select("uid", "n", "bins"), "uid").join(frequent, "uid", "left")
+    # In a large bucket a member without enough frequent shingles for any partner that its size allows has none that is left.
+    held = held.filter((F.col("k") <= LARGE) | (F.col("frequent") >= F.lit(least) * F.col("n") - F.lit(1e-6)))
+    parts = F.ceil(F.col("k") / PART).cast("int")
+    held = written(held.select("b", "uid", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "k", "n", "bins", "frequent", parts.alias("parts")), "omh-mixed")
+    x = held.filter(~F.col("is_main")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).alias("x")
+    y = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     once = F.col("y.is_main") | (F.col("x.uid") > F.col("y.uid"))
-    agree = sum((_agreeing(F.col("x.sig")[i], F.col("y.sig")[i]) for i in range(4)), F.lit(SKETCHES - 32))
     enough = (F.col("x.k") <= LARGE) | (_enough(F.least("x.frequent", "y.frequent"), F.col("x.n") + F.col("y.n"), least))
-    third = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.comp") != F.col("y.comp")) & once & enough & _sizes_fit("x.n", "y.n", least) & (agree >= AGREEING))
+    same = (F.col("x.b") == F.col("y.b")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp"))
+    third = x.join(y, same & once & enough & _sizes_fit("x.n", "y.n", least) & _alike("x.bins", "y.bins", least))
     third = third.select(F.greatest("x.uid", "y.uid").alias("u"), F.least("x.uid", "y.uid").alias("v")).unionByName(by_rare).distinct()
     more = _verified(third.join(first.unionByName(second), ["u", "v"], "left_anti"), nodes, words, least)
     if not more.isEmpty():
         comp = components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
 
-    whole = nodes.select("fp", F.col("uid").alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return table.select("uid", "fp").join(whole, "fp").select("uid", "comp")
+    # A row whose text occurs once is its own node; the others find theirs by the digest, of which one may have very many rows.
+    placed = nodes.select("fp", "copies", F.col("uid").alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = written(placed, "omh-placed")
+    alone = placed.filter("copies = 1").select(F.col("node").alias("uid"), "comp")
+    repeated = placed.filter("copies > 1").select("fp", "comp", "copies")
+    total = placed.agg(F.sum("copies")).first()[0] or 0
+    return alone.unionByName(spread_join(table.select("uid", "fp"), repeated, "fp", "copies", total).select("uid", "comp"))
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, keep: bool = False) -> DataFrame:
@@ -335,11 +385,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, keep: bool = False) ->
     # Other columns travel in a struct, so none of their names can meet a working column's.
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("omh"), *[F.col(f"`{c}`") for c in rest]).alias("omh_rest"))
     table = prepared(packed, keep)
-    rows = table.select("uid", "doc_id").join(classes(table, least), "uid")
+    rows = written(table.select("uid", "doc_id").join(classes(table, least), "uid"), "omh-rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("uid"))
     of = rows.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
-    of = of.select("comp", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("first_uid"), "class_size")
-    told = rows.join(of, "comp").select("uid", "class_id", "class_size", (F.col("uid") == F.col("first_uid")).alias("stays"))
+    of = written(of.select("comp", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("first_uid"), "class_size", F.col("class_size").alias("rows")), "omh-of")
+    told = spread_join(rows, of, "comp", "rows", rows.count()).select("uid", "class_id", "class_size", (F.col("uid") == F.col("first_uid")).alias("stays"))
     # The only join that moves the other columns of docs.
     out = table.select("uid", "doc_id", *["text"] * keep, "omh_rest").join(told, "uid")
     return out.select(*[F.col(f"omh_rest.`{c}`") if c in rest else F.col(c) for c in names], "class_id", "class_size", "stays")

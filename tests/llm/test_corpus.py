@@ -258,10 +258,62 @@ def test_cut_copy_in_large_buckets(spark):
 def test_cut_copy_with_rare_shingles(spark):
     table = orderminhash.prepared(spark.createDataFrame(cut_copy(True), "doc_id long, text string"))
     held = table.select("uid", F.col("uid").alias("comp"))
-    _, pairs = orderminhash._in_large_buckets(held, table.select("uid", "n", "sig"), table.select("uid", "words"), 0.8)
+    _, pairs = orderminhash._in_large_buckets(held, table.select("uid", "n"), table.select("uid", "words"), 0.8)
     assert pairs.count() == 1
 
 
+def test_template_pages_are_hardly_aligned(spark, monkeypatch):
+    """Pages of six blocks with five variants each share most sketches with many others, and none is a near copy: alignments stay few."""
+    rng, aligned = random.Random(1), []
+    blocks = [[" ".join(f"s{i}v{v}w{j}" for j in range(20)) for v in range(5)] for i in range(6)]
+    real = orderminhash.written
+
+    def counted(df, name, *a):
+        out = real(df, name, *a)
+        aligned.append(out.count() if name == "omh-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(orderminhash, "written", counted)
+    docs = list(enumerate(sorted({" ".join(rng.choice(b) for b in blocks) for _ in range(1000)})))
+    docs += [(5000 + i, t + f" tail{i}") for i, t in docs[:300:10]]
+    got = orderminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {d: d - 5000 if d >= 5000 else d for d, _ in docs}
+    assert sum(aligned) < 2 * len(docs)
+
+
+def test_bins_accept_links():
+    """Pairs at 0.8 or just above are never rejected by their bins; most at 0.5 are."""
+    rng = np.random.default_rng(0)
+    passed = 0
+    for n in (5, 9, 18, 45, 90, 450, 2000):
+        for _ in range(300):
+            total = n + n // 4
+            h = orderminhash.mixed(rng.integers(0, 2**62, total, np.int64).astype(np.uint64), 1)
+            assert accepted(h[:n], h[:total] if n / total >= 0.8 else h[:n])
+            far = orderminhash.mixed(rng.integers(0, 2**62, 2 * n, np.int64).astype(np.uint64), 1)
+            passed += n >= 90 and accepted(far[: n + n // 2], far[n // 2 :])
+    assert passed < 30
+
+
+def accepted(a, b):
+    x, y = (orderminhash.binned(h).view(np.uint8) for h in (a, b))
+    used = int(((x > 0) | (y > 0)).sum())
+    return int(((x == y) & (x > 0)).sum()) >= 0.8 * used - orderminhash.DEVIATIONS * 0.4 * used**0.5 - 1
+
+
+def test_one_text_in_many_rows(spark):
+    """A third of all rows is one text, another third near copies of one: keys with many rows are sent, the others shuffled."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(100)]
+    docs = [(i, t) for i, t in enumerate([" ".join(base[::-1])] * 100 + near + [" ".join(f"u{i}x{j}" for j in range(12)) for i in range(100)])]
+    for keys in (1, 3, 100_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(orderminhash, "SENT_KEYS", keys)
+            got = orderminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+            assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in got.collect()} == {i: (0, 100) if i < 100 else (100, 100) if i < 200 else (i, 1) for i, _ in docs}
+
+
 def test_order_matters():
     words = [f"w{i}" for i in range(100)]
     a, b = (orderminhash.labelled(orderminhash.words_of(" ".join(w))) for w in (words, words[50:] + words[:50]))
