@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -130,16 +131,20 @@ def brute(rows, k):
     return out
 
 
-def ask(spark, rows, k=20, shards=3):
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit("clash"))
+def ask(spark, rows, k=20, kind="float", shard_rows=60, **options):
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("shard", F.lit("clash"))
     used, dim = ann.usable(table.repartition(2))
     queries = used.filter("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     got = defaultdict(list)
-    for r in sorted(ann.search(ann.index(used, dim, shards), queries, dim, shards, k=k).collect(), key=lambda r: r["rank"]):
+    for r in sorted(ann.search(ann.index(used, dim, shard_rows), queries, k, **options).collect(), key=lambda r: r["rank"]):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     return got
 
 
+def recall_of(got, want):
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(len(v) for v in want.values())
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(i, [float(i % 5), 1.0, float(-i)]) for i in range(45)] + [(100 + i, [1.0, 1.0, 1.0]) for i in range(120)]
     rows += [(40, [1.0, 1.0, 1.0]), (3, [3.0, 1.0, -3.0])]
@@ -147,8 +152,7 @@ def test_neighbours_of_odd_vectors(spark):
     rows32 = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
     got, want = ask(spark, rows + bad), brute(rows32, 20)
     assert set(got) == set(want)
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(len(v) for v in want.values())
-    assert hits > 0.9
+    assert recall_of(got, want) > 0.9
     for q, found in got.items():
         assert all(i != q for i, _ in found) and len(found) == 20
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
@@ -159,20 +163,57 @@ def test_few_and_no_vectors(spark):
     assert ask(spark, [(0, [1.0, 0.0])]) == {}
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     used, dim = ann.usable(table)
-    assert ann.search(ann.index(used, dim, 1), used, dim, 1).count() == 0
+    assert ann.search(ann.index(used, dim), used).count() == 0
+
+
+def test_doubles_keep_their_values(spark):
+    """Scores are of doubles that no float can hold, and vectors beyond the range of floats take part."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(200, 6)) * np.where(np.arange(200) % 7 == 0, 1e150, 1.0 + 1e-12)[:, None])]
+    got, want = ask(spark, rows, kind="double"), brute(rows, 20)
+    assert set(got) == set(want) and recall_of(got, want) > 0.95
+    exact = {(q, i): s for q in want for i, s in want[q]}
+    assert all(math.isclose(s, exact[q, i], rel_tol=1e-12) for q in got for i, s in got[q] if (q, i) in exact)
+
+
+def norms(kind, n, rng):
+    return {"alike": 1.0, "uniform": rng.uniform(0.5, 2, size=(n, 1)), "tailed": np.exp(rng.normal(0, 0.5, size=(n, 1)))}[kind]
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("kind", ["alike", "uniform", "tailed"])
+def test_recall_of_a_full_shard(kind):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(3000, 24)).astype(np.float32)
-    x *= rng.uniform(0.5, 2, size=(3000, 1)).astype(np.float32)
-    packed = ann.pack(np.arange(3000), x, 16, 64)
-    q, found, _ = ann.shard_best(packed, np.arange(0, 3000, 20), x[::20], 20, 16, 192)
-    exact = x[::20].astype(np.float64) @ x.T.astype(np.float64)
-    exact[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    n = ann.SHARD_ROWS
+    x = (rng.normal(size=(n, 64)) * norms(kind, n, rng)).astype(np.float32)
+    shard = ann.unpack(ann.pack(np.arange(n), x, 16, 64), 64, 16, np.float32)
+    asked = np.arange(0, n, 80)
+    q, found, _ = ann.shard_best(shard, asked, x[asked], 20, 192)
+    exact = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    exact[np.arange(len(asked)), asked] = -np.inf
     best = np.argsort(-exact, axis=1)[:, :20]
     pairs = set(zip(q.tolist(), found.tolist(), strict=True))
-    assert np.mean([[(20 * i, b) in pairs for b in row] for i, row in enumerate(best)]) > 0.9
+    assert np.mean([[(int(a), int(b)) in pairs for b in row] for a, row in zip(asked, best, strict=True)]) > 0.95
+
+
+def test_routing_to_cells(spark):
+    """Vectors around twelve directions with different norms, a third of all rows equal: routed queries ask few cells, and
+    find what all cells give."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(12, 16))
+    x = centre[rng.integers(0, 12, 2000)] + 0.2 * rng.normal(size=(2000, 16))
+    x *= np.where(rng.uniform(size=(2000, 1)) < 0.2, 3.0, 1.0)
+    x = np.concatenate([x, np.repeat(x[:1], 1000, axis=0)]).astype(np.float32)
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    made = ann.index(table, 16, shard_rows=150)
+    sizes = [len(np.frombuffer(r["ids"], np.int64)) for r in made.graphs.select("ids").collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300 and len(made.centres) > 4
+    assert ann.cells_needed(made, table.filter("vec_id % 20 = 0"), 20, 192, 0.99, 64) < len(made.centres)
+    want = brute(rows, 20)
+    got = ask(spark, rows, shard_rows=150)
+    every = ask(spark, rows, shard_rows=150, recall=None)
+    tied = lambda g: np.mean([sum(s >= want[q][-1][1] - 1e-9 for _, s in g[q]) / 20 for q in want])
+    assert tied(got) > 0.95 and tied(every) > 0.97
 
 
 # -- near copies ----------------------------------------------------------------------------
