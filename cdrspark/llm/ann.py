@@ -377,10 +377,14 @@ def index(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS, sample_rows:
     Bands of a factor BAND in norm that are small share a cell with the next ones. In a band of several shards directions are
     grouped around centres that are fitted on a sample (sample_rows by hash over all bands, 32 for each centre at least)."""
     kind = np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
-    e = F.transform("embedding", lambda v: F.abs(v.cast("double")))
-    scaled = F.aggregate(e, F.lit(0.0), lambda s, v: s + (v / F.array_max(e)) * (v / F.array_max(e)))
-    band = F.floor((F.log(F.array_max(e)) + F.log(scaled) / 2) / F.lit(math.log(BAND))).cast("int")
-    banded = written(rows.select("vec_id", "embedding", band.alias("band")), "ann-rows")
+    vector = rows.schema["embedding"].dataType.simpleString()
+
+    def with_band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norm = norms_of(_matrix(batch.column("embedding"), dim)) if batch.num_rows else np.ones(0)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(np.floor(np.log(norm) / math.log(BAND)), pa.int32())], names=["vec_id", "embedding", "band"])
+
+    banded = written(rows.select("vec_id", "embedding").mapInArrow(with_band, f"vec_id long, embedding {vector}, band int"), "ann-rows")
     # The range of doubles has fewer than 6,000 bands.
     sizes = sorted(((r["band"], r["n"]) for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()), reverse=True)
     total, groups = sum(n for _, n in sizes), []
@@ -422,7 +426,7 @@ def index(rows: DataFrame, dim: int, shard_rows: int = SHARD_ROWS, sample_rows:
                     cell[mine] += ((x[mine] / norm[mine, None]).astype(np.float32) @ centres[c : c + n].T).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([piece.column("vec_id"), piece.column("embedding"), pa.array(cell, pa.int32()), pa.array(norm)], names=["vec_id", "embedding", "cell", "norm"])
 
-    dealt = written(banded.mapInArrow(deal, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, cell int, norm double"), "ann-cells")
+    dealt = written(banded.mapInArrow(deal, f"vec_id long, embedding {vector}, cell int, norm double"), "ann-cells")
     counts = {r["cell"]: (r["n"], r["top"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
     shards = [-(-counts.get(c, (0, 0))[0] // shard_rows) for c in range(len(centres))]
     first = np.concatenate([[0], np.cumsum(shards)]).astype(np.int64)
