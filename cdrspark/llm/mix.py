@@ -2,20 +2,21 @@
 
 1. Targets: a share of all words is dealt to the sources by weight; no source gets more than
    ``max_epochs`` times its size, and what it can't use is dealt to the others by weight.
-2. Draws: a source gives whole epochs and, for the rest of its target, documents in an order
-   permuted by hash. The order's cells are cut where the target lies, and inside the cut cell
-   documents are taken one by one while they fit, then exchanged while that comes nearer.
-3. Dealing: each epoch's documents lie in blocks permuted by an affine map. A binary tree over the
-   output shards splits the exact block quotas of all sources: at each node the left half gets a
-   multivariate hypergeometric sample of what the node has. Shards then own disjoint runs of the
-   permuted blocks, and rows are ordered by hash inside a shard.
+2. Draws: a source's documents lie in hashed blocks of about ``block_words``, so the order of blocks is a random one. A source
+   gives all blocks in whole epochs and, for the rest of its target, blocks in their order up to the one in which
+   the target lies. Of that one the documents are taken in hash order; which of the WINDOW around the target is
+   decided by the subset whose sum is nearest to it.
+3. Dealing: the drawn blocks of all epochs are counted, and these exact counts are the quotas of the tree. At each node
+   the left half of the shards gets a multivariate hypergeometric sample of what the node has. Each source's drawn blocks are
+   permuted by hash, and a shard gets the disjoint run that the tree gives it. There are as many shards as the drawn words need at
+   ``shard_words`` each; a shard's rows are ordered by hash.
 
 Everything random is a hash of ids and the seed, so reruns and lost executors give the same mix.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; the null source is a source
-of its own, last in order; repeated rows (same id, source and text) are drawn independently but
-share one hash, ties go by size and text hash; a single source's target is at most ``max_epochs`` times
-its size; an empty table gives an empty mix; other columns are ignored by ``plan`` and kept by ``mix``.
+of its own, last in order; repeated rows (same id, source and text) share one hash and are drawn together; a
+single source's target is at most ``max_epochs`` times its size; an empty table gives an empty mix; other columns are ignored
+by ``plan`` and kept by ``mix``; more than ``max_sources`` sources are an error.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cdrspark.llm.common import mixed, written
+from cdrspark.llm.common import written
 
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents (about) in a block that is dealt, in the cell that is cut document by document; cells of a level.
-BLOCK_DOCS, CELL_DOCS, CELLS = 8, 4096, 1024
-#: Cut cells of so few documents and words are filled by the nearest subset of all.
-EXACT_DOCS, EXACT_WORDS = 64, 4_000_000
+#: Words (about) in a block and in a shard.
+BLOCK_WORDS, SHARD_WORDS = 32_768, 4_194_304
+#: Blocks of a source are summed in so many cells at once; shards that one step of the tree splits a node into; documents
+#: around a target whose subsets are compared.
+CELLS, LEAVES, WINDOW = 1024, 64, 64
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,7 @@ class Source:
     size: int
     weight: float
     target: float
+    blocks: int
 
     @property
     def epochs(self) -> int:
@@ -57,21 +60,6 @@ class Source:
     def rest(self) -> float:
         return self.target - self.epochs * self.size
 
-    @property
-    def cells(self) -> tuple[int, int]:
-        """Cells of the first and second level: so many that a cell of the second has about CELL_DOCS documents."""
-        first = min(CELLS, max(1, self.docs // CELL_DOCS))
-        return first, min(CELLS, max(1, self.docs // first // CELL_DOCS))
-
-    @property
-    def blocks(self) -> int:
-        return min(4096, max(1, math.ceil(self.docs / BLOCK_DOCS)))
-
-    @property
-    def quota(self) -> int:
-        """Block draws of all its epochs."""
-        return self.blocks * (self.epochs + (self.rest > 0))
-
 
 def targets(sizes: list[int], weights: list[float], total: float, max_epochs: float) -> list[float]:
     """`total` dealt by weight, none above max_epochs times its size, the excess dealt again by weight."""
@@ -91,63 +79,51 @@ def targets(sizes: list[int], weights: list[float], total: float, max_epochs: fl
     return out
 
 
-def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Block draws of each source (row) in each shard (column); rows sum to the quotas, and columns
-    to equal parts of all draws (to one). Every node has its own generator."""
-    out = np.zeros((len(quotas), shards), np.int64)
-
-    def split(have: np.ndarray, lo: int, hi: int) -> None:
-        if hi - lo == 1:
-            out[:, lo] = have
-            return
-        mid, total = (lo + hi) // 2, int(have.sum())
-        to_left = total * (mid - lo) // (hi - lo)
-        # One source at a time: hypergeometric given what the sources before it got.
-        rng = np.random.default_rng([seed, lo, hi])
-        left, rest = np.zeros_like(have), total
-        for i, n in enumerate(have.tolist()):
-            rest -= n
-            left[i] = rng.hypergeometric(n, rest, to_left) if 0 < to_left and n else 0
-            to_left -= int(left[i])
-        split(left, lo, mid)
-        split(have - left, mid, hi)
-
-    if len(quotas):
-        split(quotas.astype(np.int64), 0, shards)
-    return out
-
-
-def stride(quota: int, seed: int) -> int:
-    """A multiplier without common factor, for the affine permutation of a source's block draws."""
-    a = int(mixed(np.array([quota], np.uint64), seed)[0] % np.uint64(max(1, quota))) | 1
-    while math.gcd(a, quota) != 1:
-        a += 2
-    return a
-
-
-def filled_up(size: np.ndarray, left: float, swaps: int = 16) -> np.ndarray:
-    """Which documents, in this order, fill `left` words: each that still fits; then, while it comes nearer,
-    the exchange of one that is in (or none) for one that is out (or none) which comes nearest."""
-    taken, gap = np.zeros(len(size), bool), left
-    for i, n in enumerate(size.tolist()):
-        if n <= gap:
-            taken[i], gap = True, gap - n
-    for _ in range(swaps):
-        inside, outside = (np.r_[-1, x[np.argsort(size[x], kind="stable")]] for x in (np.flatnonzero(taken), np.flatnonzero(~taken)))
-        out_size, in_size = (np.r_[0, size[x[1:]]] for x in (outside, inside))
-        want = in_size + gap
-        at = np.searchsorted(out_size, want)
-        near = np.stack([np.clip(at - 1, 0, len(outside) - 1), np.clip(at, 0, len(outside) - 1)])
-        miss = np.abs(out_size[near] - want)
-        k, i = np.unravel_index(int(miss.argmin()), miss.shape)
-        if miss[k, i] >= abs(gap):
-            break
-        gap -= out_size[near[k, i]] - in_size[i]
-        for x, state in ((inside[i], False), (outside[near[k, i]], True)):
-            if x >= 0:
-                taken[x] = state
-    if abs(gap) >= 1 and len(size) <= EXACT_DOCS and size.sum() <= EXACT_WORDS:
-        taken = nearest_subset(size.tolist(), left)
+def split_node(have: np.ndarray, lo: int, hi: int, leaves: int, seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of a node of shards lo to hi that has these block draws of each source: the nodes under it (lo, hi, block draws), `leaves` at
+    most. Halves get parts by their shards (to one block), and every node has its own generator, so how many are split at once changes nothing."""
+    if hi - lo == 1 or leaves == 1:
+        yield lo, hi, have
+        return
+    mid, total = (lo + hi) // 2, int(have.sum())
+    to_left = total * (mid - lo) // (hi - lo)
+    # One source at a time: hypergeometric given what the sources before it got.
+    rng = np.random.default_rng([seed, lo, hi])
+    left, rest = np.zeros_like(have), total
+    for i in np.flatnonzero(have).tolist():
+        n = int(have[i])
+        rest -= n
+        left[i] = rng.hypergeometric(n, rest, to_left) if to_left else 0
+        to_left -= int(left[i])
+    yield from split_node(left, lo, mid, leaves // 2, seed)
+    yield from split_node(have - left, mid, hi, leaves // 2, seed)
+
+
+def dealt_blocks(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """s, shard, blocks (more than 0): the tree over quotas (s, blocks), some levels a step. A task holds one node's sources
+    and what they have in LEAVES nodes under it."""
+
+    def split(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("s")
+        s, out = part["s"].to_numpy(), []
+        for lo, hi, have in split_node(part["blocks"].to_numpy(np.int64), int(part["lo"].iloc[0]), int(part["hi"].iloc[0]), LEAVES, seed):
+            some = have > 0
+            out.append(pd.DataFrame({"lo": lo, "hi": hi, "s": s[some], "blocks": have[some]}))
+        return pd.concat(out)
+
+    nodes, widest = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "s", "blocks"), shards
+    while widest > 1:
+        nodes = written(nodes.groupBy("lo", "hi").applyInPandas(split, "lo int, hi int, s int, blocks long"), "mix-nodes")
+        widest = -(-widest // LEAVES)
+    return nodes.select("s", F.col("lo").alias("shard"), "blocks")
+
+
+def filled_up(size: np.ndarray, left: float) -> np.ndarray:
+    """Which documents, in this order, come nearest to `left` words: all before the WINDOW around it, and of these the best subset."""
+    at = int(np.searchsorted(np.cumsum(size), left, side="right"))
+    lo = max(0, min(at - WINDOW // 2, len(size) - WINDOW))
+    taken = np.arange(len(size)) < lo
+    taken[lo : lo + WINDOW] = nearest_subset(size[lo : lo + WINDOW].tolist(), left - float(size[:lo].sum()))
     return taken
 
 
@@ -182,7 +158,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def known_sources(sized: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, most: int) -> list[Source]:
+def known_sources(sized: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, most: int, block_words: int) -> list[Source]:
     """One record per source, by code point, null last. Sources are few beside documents; more than `most` end the job."""
     rows = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("size")).limit(most + 1).collect()
     if len(rows) > most:
@@ -190,7 +166,27 @@ def known_sources(sized: DataFrame, weights: tuple[float, ...], share: float, ma
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     use = [float(weights[i % len(weights)]) for i in range(len(rows))]
     want = targets([r["size"] for r in rows], use, share * sum(r["size"] for r in rows), max_epochs)
-    return [Source(r.source, r.docs, r["size"], w, t) for r, w, t in zip(rows, use, want, strict=True)]
+    return [Source(r.source, r.docs, r["size"], w, t, max(1, -(-r["size"] // block_words))) for r, w, t in zip(rows, use, want, strict=True)]
+
+
+def _cut(units: DataFrame, sources: list[Source], spark: SparkSession) -> DataFrame:
+    """s, cut, left: of each source with a rest the block in which it ends, and the words that it takes from that block. Cells
+    of blocks are summed, then the cells of the one in which the rest ends, until a cell is a block: a source has
+    at most CELLS sums at once, however many blocks."""
+    some = [(i, s.rest, s.blocks) for i, s in enumerate(sources) if s.rest > 0]
+    open_ = spark.createDataFrame([(i, 0, float(rest)) for i, rest, _ in some], "s int, cut long, left double")
+    width = {i: blocks for i, _, blocks in some}
+    while any(w > 1 for w in width.values()):
+        finer = {i: -(-w // CELLS) for i, w in width.items()}
+        steps = spark.createDataFrame([(i, width[i], finer[i]) for i in width], "s int, width long, finer long")
+        # One row a source in both.
+        inside = units.join(F.broadcast(open_.join(steps, "s")), "s").filter(F.col("block").between(F.col("cut"), F.col("cut") + F.col("width") - 1))
+        cells = inside.groupBy("s", "cut", "left", "finer", F.floor((F.col("block") - F.col("cut")) / F.col("finer")).alias("cell")).agg(F.sum("words").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("s").orderBy("cell"))
+        cells = cells.withColumn("before", upto - F.col("words")).filter((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
+        open_ = written(cells.select("s", (F.col("cut") + F.col("cell") * F.col("finer")).alias("cut"), (F.col("left") - F.col("before")).alias("left")), "mix-cut")
+        width = finer
+    return open_
 
 
 def plan(
@@ -198,85 +194,73 @@ def plan(
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     share: float = 1.5,
     max_epochs: float = 2.0,
-    shards: int = 64,
+    shard_words: int = SHARD_WORDS,
+    block_words: int = BLOCK_WORDS,
     seed: int = 17,
     max_sources: int = 200_000,
 ) -> DataFrame:
     """For each row of docs (doc_id, source, text): doc_id, source, text_hash, size, source_size,
     target (its source's) and draws, an array with an entry (epoch, shard, position) for each time it is taken."""
+    return _planned(docs, weights, share, max_epochs, shard_words, block_words, seed, max_sources)[0]
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = 17, max_sources: int = 200_000) -> tuple[DataFrame, int]:
+    """plan()'s rows and the number of shards."""
     spark = docs.sparkSession
     sized = sizes(docs)
-    sources = known_sources(sized, weights, share, max_epochs, max_sources)
-    quotas = np.array([s.quota for s in sources], np.int64)
-    bounds = np.cumsum(splitting_tree(quotas, shards, seed), axis=1)
-    table = pd.DataFrame(
-        [(i, s.name, s.size, s.target, s.epochs, s.rest, *s.cells, s.blocks) for i, s in enumerate(sources)],
-        columns=["s", "name", "source_size", "target", "epochs", "rest", "cells1", "cells2", "blocks"],
-    )
-    known = spark.createDataFrame(table.astype({"name": object}), "s int, name string, source_size long, target double, epochs int, rest double, cells1 int, cells2 int, blocks int")
+    sources = known_sources(sized, weights, share, max_epochs, max_sources, block_words)
+    shards = max(1, math.ceil(math.fsum(s.target for s in sources) / shard_words))
+    known = spark.createDataFrame([(i, s.name, s.size, s.target, s.epochs, s.blocks) for i, s in enumerate(sources)], "s int, name string, source_size long, target double, epochs int, blocks long")
     # One row per source, at most max_sources of them: small enough for every executor.
     rows = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    rows = rows.withColumns({
-        "h": _hash(F.lit(seed), "source", "doc_id", "text_hash"),
-        "c1": F.pmod(_hash(F.lit(seed + 1), "source", "doc_id", "text_hash"), "cells1").cast("int"),
-        "c2": F.pmod(_hash(F.lit(seed + 2), "source", "doc_id", "text_hash"), "cells2").cast("int"),
-        "block": F.pmod(_hash(F.lit(seed + 3), "source", "doc_id", "text_hash"), "blocks").cast("int"),
-    })
-
-    def cut(cells: DataFrame, cell: str, by: list[str]) -> DataFrame:
-        """Of each source's cells in order: the one in which the rest of the target ends, and what is left for it."""
-        order = Window.partitionBy(*by).orderBy(cell)
-        upto = cells.withColumn("upto", F.sum("size").over(order))
-        inside = (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("size") <= F.col("rest"))
-        return upto.filter(inside).select("s", F.col(cell).alias(f"cut_{cell}"), (F.col("rest") - (F.col("upto") - F.col("size"))).alias("left"))
-
-    # A source has at most CELLS cells on each level, however many documents.
-    first = cut(rows.groupBy("s", "rest", "c1").agg(F.sum("size").alias("size")), "c1", ["s"])
-    first = written(first, "mix-cut1")
-    in_first = rows.drop("rest").join(F.broadcast(first), (rows["s"] == first["s"]) & (F.col("c1") == F.col("cut_c1"))).drop(first["s"])
-    second = cut(in_first.groupBy("s", F.col("left").alias("rest"), "c2").agg(F.sum("size").alias("size")), "c2", ["s"])
-    second = written(second.withColumnRenamed("left", "left2"), "mix-cut2")
-    cuts = first.drop("left").join(second, "s", "left")
-    marked = rows.join(F.broadcast(cuts), "s", "left")
-
-    in_cut = marked.filter((F.col("c1") == F.col("cut_c1")) & (F.col("c2") == F.col("cut_c2")))
-    in_cut = in_cut.groupBy("s", "h", "text_hash", "left2").agg(F.sum("size").alias("size"))
+    of_row = ("source", "doc_id", "text_hash")
+    rows = rows.withColumns({"h": _hash(F.lit(seed), *of_row), "block": F.pmod(_hash(F.lit(seed + 3), *of_row), "blocks")})
+
+    units = written(rows.filter("size > 0").groupBy("s", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    cut = _cut(units, sources, spark)
+    in_cut = rows.filter("size > 0").join(F.broadcast(cut), "s").filter(F.col("block") == F.col("cut"))
+    in_cut = in_cut.groupBy("s", "h", "text_hash", "left").agg(F.sum("size").alias("size"))
 
     def fill(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["h", "text_hash"], kind="stable")
-        return batch.assign(extra=filled_up(batch["size"].to_numpy(np.int64), float(batch["left2"].iloc[0])))[["s", "h", "text_hash", "extra"]]
-
-    filled = in_cut.groupBy("s").applyInPandas(fill, "s int, h long, text_hash long, extra boolean")
-    before = F.col("cut_c1").isNull() | (F.col("c1") < F.col("cut_c1")) | ((F.col("c1") == F.col("cut_c1")) & F.col("cut_c2").isNotNull() & (F.col("c2") < F.col("cut_c2")))
-    chosen = marked.join(filled.filter("extra"), ["s", "h", "text_hash"], "left")
-    chosen = chosen.withColumn("extra", (F.col("rest") > 0) & (before | F.coalesce(F.col("extra"), F.lit(False))))
-    chosen = chosen.withColumn("times", F.when(F.col("size") > 0, F.col("epochs") + F.col("extra").cast("int")).otherwise(0))
-
-    steps = [stride(int(q), seed) for q in quotas]
-
-    @F.pandas_udf("int")
-    def shard_of(s: pd.Series, block: pd.Series, blocks: pd.Series, epoch: pd.Series) -> pd.Series:
-        out = np.zeros(len(s), np.int32)
-        for i in s.unique():
-            if not quotas[i]:  # when() evaluates UDFs for all rows
-                continue
-            at = (s == i).to_numpy()
-            unit = (epoch[at].to_numpy(np.int64) * blocks[at].to_numpy(np.int64) + block[at].to_numpy(np.int64)).astype(object)
-            place = np.array([(int(u) * steps[i] + seed) % int(quotas[i]) for u in unit], np.int64)
-            out[at] = np.searchsorted(bounds[i], place, side="right")
-        return pd.Series(out)
-
-    draw = lambda e: F.when(F.col("times") > e, F.struct(F.lit(e).alias("epoch"), F.col(f"shard{e}").alias("shard"), _hash(F.lit(seed + 9 + e), "h").alias("position")))
-    most = math.ceil(max_epochs)
-    dealt = chosen.withColumns({f"shard{e}": F.when(F.col("times") > e, shard_of("s", "block", "blocks", F.lit(e))) for e in range(most)})
-    return dealt.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.array_compact(F.array(*[draw(e) for e in range(most)])).alias("draws"))
+        return batch[filled_up(batch["size"].to_numpy(np.int64), float(batch["left"].iloc[0]))][["s", "h", "text_hash"]]
+
+    filled = written(in_cut.groupBy("s").applyInPandas(fill, "s int, h long, text_hash long"), "mix-filled")
+
+    # The drawn blocks: whole epochs, the rest's whole blocks, and the cut one if any of its documents is taken.
+    some = filled.select("s").distinct().withColumn("some", F.lit(True))
+    of_source = known.select("s", "epochs").join(cut.select("s", "cut").join(some, "s", "left"), "s", "left")
+    part = (F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & F.col("some").isNotNull())
+    times = F.col("epochs") + F.when(F.coalesce(part, F.lit(False)), 1).otherwise(0)
+    drawn = units.join(F.broadcast(of_source), "s").withColumn("times", times).filter("times > 0")
+    drawn = drawn.select("s", "block", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
+    drawn = drawn.withColumn("turn", _hash(F.lit(seed + 5), "s", "block", "epoch"))
+    # Numbered within each source in the order of the hash: inside parts of a range partitioning, after those of earlier parts.
+    key = ("turn", "block", "epoch")
+    parts = written(drawn.repartitionByRange("s", *key).withColumn("part", F.spark_partition_id()), "mix-drawn")
+    counts = written(parts.groupBy("s", "part").agg(F.count("*").alias("n")), "mix-parts")
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("part")) - F.col("n")).drop("n")
+    numbered = parts.join(before, ["s", "part"]).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("s", "part").orderBy(*key)) - 1)
+
+    quotas = counts.groupBy("s").agg(F.sum("n").alias("blocks"))
+    runs = dealt_blocks(quotas, shards, seed)
+    upto = F.sum("blocks").over(Window.partitionBy("s").orderBy("shard"))
+    places = runs.withColumn("upto", upto).select("s", "shard", F.explode(F.sequence(F.col("upto") - F.col("blocks"), F.col("upto") - 1)).alias("i"))
+    dealt = numbered.join(places, ["s", "i"]).groupBy("s", "block").agg(F.collect_list(F.struct("epoch", "shard")).alias("dealt"))
+
+    chosen = rows.join(dealt, ["s", "block"], "left").join(F.broadcast(cut.select("s", "cut")), "s", "left")
+    chosen = chosen.join(filled.withColumn("extra", F.lit(True)), ["s", "h", "text_hash"], "left")
+    whole = lambda d: (d["epoch"] < F.col("epochs")) | (F.col("block") < F.col("cut")) | F.coalesce(F.col("extra"), F.lit(False))
+    draws = F.transform(F.filter(F.array_sort("dealt"), whole), lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), _hash(d["epoch"] + F.lit(seed + 9), F.col("h")).alias("position")))
+    nothing = F.array().cast("array<struct<epoch:int,shard:int,position:bigint>>")
+    draws = F.when((F.col("size") > 0) & F.col("dealt").isNotNull(), draws).otherwise(nothing)
+    return chosen.select("doc_id", "source", "text_hash", "size", "source_size", "target", draws.alias("draws")), shards
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs' rows, each as often as the mix takes it, dealt to shards and in hash order inside a shard,
-    with the columns mix_epoch and mix_shard added (replacing any of these names)."""
-    shards = options.get("shards", 64)
-    planned = plan(docs.select("doc_id", "source", "text"), **options)
+    with the columns mix_epoch and mix_shard added (replacing any of these names). A shard is one partition."""
+    planned, shards = _planned(docs.select("doc_id", "source", "text"), **options)
     drawn = planned.filter(F.size("draws") > 0).groupBy("doc_id", "source", "text_hash").agg(F.first("draws").alias("mix_draws"))
     own = [c for c in docs.columns if c not in ("mix_epoch", "mix_shard")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("mix_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
@@ -285,7 +269,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         F.col("d.mix_hash").eqNullSafe(F.col("p.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")),
     )
     out = joined.select(*[F.col(f"d.`{c}`") for c in own], F.explode("p.mix_draws").alias("mix_draw"))
-    out = out.repartition(shards, F.col("mix_draw.shard")).sortWithinPartitions(F.col("mix_draw.shard"), F.col("mix_draw.position"))
+    out = out.repartitionById(shards, F.col("mix_draw.shard")).sortWithinPartitions("mix_draw.position")
     return out.select(*[F.col(f"`{c}`") for c in own], F.col("mix_draw.epoch").alias("mix_epoch"), F.col("mix_draw.shard").alias("mix_shard"))
 
 

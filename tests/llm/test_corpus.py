@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -25,13 +26,34 @@ def test_targets():
     assert mix.targets([0, 5], [1, 1], 7.5, 2) == [0.0, 7.5]
 
 
+def tree(quotas, shards, seed, leaves=10**9):
+    """Block draws of each source (row) in each shard (column), by steps of so many leaves."""
+    nodes, out = [(0, shards, np.array(quotas, np.int64))], np.zeros((len(quotas), shards), np.int64)
+    while any(hi - lo > 1 for lo, hi, _ in nodes):
+        nodes = [child for lo, hi, have in nodes for child in mix.split_node(have, lo, hi, leaves, seed)]
+    for lo, _, have in nodes:
+        out[:, lo] = have
+    return out
+
+
 def test_splitting_tree_keeps_quotas():
-    quotas = np.array([1000, 3, 0, 77])
-    out = mix.splitting_tree(quotas, 7, 1)
+    quotas = [1000, 3, 0, 77]
+    out = tree(quotas, 7, 1)
     assert (out.sum(axis=1) == quotas).all() and (out >= 0).all()
     assert set(np.diff(np.sort(out.sum(axis=0))).tolist()) <= {0, 1}
-    assert np.array_equal(out, mix.splitting_tree(quotas, 7, 1))
-    assert not np.array_equal(out, mix.splitting_tree(quotas, 7, 2))
+    assert np.array_equal(out, tree(quotas, 7, 1)) and np.array_equal(out, tree(quotas, 7, 1, 2)) and np.array_equal(out, tree(quotas, 7, 1, 4))
+    assert not np.array_equal(out, tree(quotas, 7, 2))
+
+
+def test_tree_over_tables(spark, monkeypatch):
+    quotas = [40, 0, 500, 7]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(quotas) if n], "s int, blocks long")
+    for leaves in (2, 8, 64):
+        monkeypatch.setattr(mix, "LEAVES", leaves)
+        got = np.zeros((4, 19), np.int64)
+        for r in mix.dealt_blocks(rows, 19, 5).collect():
+            got[r["s"], r["shard"]] = r["blocks"]
+        assert np.array_equal(got, tree(quotas, 19, 5))
 
 
 def test_filled_up_comes_near():
@@ -41,20 +63,74 @@ def test_filled_up_comes_near():
         left = rng.uniform(0, sum(size) + 5)
         best = min(abs(sum(c) - left) for k in range(len(size) + 1) for c in itertools.combinations(size, k))
         assert abs(np.array(size)[mix.nearest_subset(size, left)].sum() - left) == pytest.approx(best)
-        assert abs(np.array(size)[mix.filled_up(np.array(size), left)].sum() - left) <= max(best, 1)
+        assert abs(np.array(size)[mix.filled_up(np.array(size), left)].sum() - left) == pytest.approx(best)
     many = np.array([rng.randrange(1, 900) for _ in range(500)])
-    assert abs(many[mix.filled_up(many, 70_000.5)].sum() - 70_000.5) <= 2
+    for left in (0.0, 3.2, 70_000.5, float(many.sum()) - 0.5):
+        assert abs(many[mix.filled_up(many, left)].sum() - left) <= 2
+
+
+def plainly(spark, docs, shard_words, block_words, seed=17):
+    """For each row how often it is taken and in which (epoch, shard), from the hashes of rows and blocks alone."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", "source", text.alias("t"), F.xxhash64(text).alias("th"))
+    keyed = keyed.select("*", *[F.xxhash64(F.lit(seed + k), "source", "doc_id", "th").alias(n) for n, k in (("h", 0), ("b", 3))]).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    names = sorted({r["source"] for r in keyed}, key=lambda s: (s is None, s or ""))
+    total = {n: sum(words(r["t"]) for r in keyed if r["source"] == n) for n in names}
+    want = mix.targets([total[n] for n in names], [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))], 1.5 * sum(total.values()), 2.0)
+    shards = max(1, math.ceil(sum(want) / shard_words))
+    taken, drawn = {}, []
+    for s, n in enumerate(names):
+        rows = {(r["h"], r["th"], r["doc_id"]): (r["b"] % max(1, -(-total[n] // block_words)), words(r["t"])) for r in keyed if r["source"] == n}
+        copies = Counter((r["h"], r["th"], r["doc_id"]) for r in keyed if r["source"] == n)
+        size = {k: copies[k] * w for k, (_, w) in rows.items() if w}
+        epochs = int(want[s] // total[n]) if total[n] else 0
+        left, rest = want[s] - epochs * total[n], set()
+        by_block = defaultdict(list)
+        for k in sorted(size):
+            by_block[rows[k][0]].append(k)
+        for block in sorted(by_block) if left > 0 else ():
+            inside = sum(size[k] for k in by_block[block])
+            if inside <= left:
+                rest |= set(by_block[block])
+                left -= inside
+                continue
+            chosen = mix.filled_up(np.array([size[k] for k in by_block[block]]), left)
+            rest |= {k for k, c in zip(by_block[block], chosen, strict=True) if c}
+            break
+        for k in size:
+            taken[n, k] = [(e, s, rows[k][0]) for e in range(epochs)] + [(epochs, s, rows[k][0])] * (k in rest)
+        drawn += sorted({d for k in size for d in taken[n, k]})
+    turn = {}
+    if drawn:
+        table = spark.createDataFrame([(s, b, e) for e, s, b in drawn], "s int, b long, e int")
+        turn = {(r["e"], r["s"], r["b"]): r["turn"] for r in table.select("*", F.xxhash64(F.lit(seed + 5), "s", "b", "e").alias("turn")).collect()}
+    place = {}
+    counts = tree([sum(d[1] == s for d in drawn) for s in range(len(names))], shards, seed)
+    for s in range(len(names)):
+        own = sorted((d for d in drawn if d[1] == s), key=lambda d: (turn[d], d[2], d[0]))
+        place |= dict(zip(own, np.repeat(np.arange(shards), counts[s]).tolist(), strict=True))
+    return Counter((r["doc_id"], r["source"], r["th"], tuple((d[0], place[d]) for d in taken.get((r["source"], (r["h"], r["th"], r["doc_id"])), []))) for r in keyed), shards
+
+
+@pytest.mark.parametrize(("shard_words", "block_words"), [(40_000, 32_768), (300, 60), (2000, 7)])
+def test_plan_equals_plain_computation(spark, monkeypatch, shard_words, block_words):
+    monkeypatch.setattr(mix, "CELLS", 4)
+    docs = odd.table(spark)
+    want, shards = plainly(spark, docs, shard_words, block_words)
+    rows = mix.plan(docs, shard_words=shard_words, block_words=block_words).collect()
+    assert Counter((r["doc_id"], r["source"], r["text_hash"], tuple((d["epoch"], d["shard"]) for d in r["draws"])) for r in rows) == want
+    assert all(0 <= d["shard"] < shards for r in rows for d in r["draws"])
 
 
 def test_plan(spark):
     docs = odd.table(spark).withColumn("draws", F.lit("clash"))
-    rows = mix.plan(docs, shards=5).collect()
+    rows = mix.plan(docs, shard_words=500, block_words=50).collect()
     assert len(rows) == len(odd.rows())
     size = defaultdict(int)
     for r in rows:
         size[r["source"]] += r["size"]
         assert len(r["draws"]) <= 2 and (r["size"] > 0 or not r["draws"])
-        assert all(0 <= d["shard"] < 5 for d in r["draws"])
     order = sorted(size, key=lambda s: (s is None, s or ""))
     want = mix.targets([size[s] for s in order], [(3.0, 1.0, 2.0)[i % 3] for i in range(len(order))], 1.5 * sum(size.values()), 2.0)
     taken = defaultdict(int)
@@ -63,21 +139,38 @@ def test_plan(spark):
         assert r["source_size"] == size[r["source"]] and abs(r["target"] - want[order.index(r["source"])]) < 1e-6
     biggest = max(r["size"] for r in rows)
     assert all(abs(taken[s] - t) <= biggest for s, t in zip(order, want, strict=True))
-    again = mix.plan(docs, shards=5).collect()
+    again = mix.plan(docs.repartition(7), shard_words=500, block_words=50).collect()
     assert Counter(map(repr, rows)) == Counter(map(repr, again))
     assert mix.plan(odd.empty(spark)).count() == 0
+    with pytest.raises(ValueError, match="sources"):
+        mix.plan(docs, max_sources=2)
+
+
+def test_shards_have_equal_words(spark):
+    """Documents of very different sizes: shards of some hundred documents differ little, and their number follows the words."""
+    size = F.when(F.col("id") % 50 == 0, 300).otherwise(F.col("id") % 40 + 1).cast("int")
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("source"), F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), size).alias("text"))
+    rows = mix.plan(docs, shard_words=100_000, block_words=800).collect()
+    words = Counter()
+    for r in rows:
+        for d in r["draws"]:
+            words[d["shard"]] += r["size"]
+    assert len(words) == math.ceil(1.5 * sum(r["size"] for r in rows) / 100_000)
+    mean = sum(words.values()) / len(words)
+    assert all(abs(n - mean) < 0.1 * mean for n in words.values())
 
 
 def test_mix_rows_follow_the_plan(spark):
     docs = odd.table(spark)
-    out = mix.mix(docs.withColumn("mix_shard", F.lit("clash")), shards=4)
-    times = Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect())
+    out = mix.mix(docs.withColumn("mix_shard", F.lit("clash")), shard_words=20_000)
+    times = Counter((r["doc_id"], r["text"], r["source"], r["mix_epoch"], r["mix_shard"]) for r in out.collect())
     plan = Counter()
     texts = {(r["doc_id"], r["source"], r["h"]): r["text"] for r in docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
-    for r in mix.plan(docs, shards=4).collect():
-        if r["draws"]:
-            plan[r["doc_id"], texts[r["doc_id"], r["source"], r["text_hash"]], r["source"]] += len(r["draws"])
-    assert times == plan
+    for r in mix.plan(docs, shard_words=20_000).collect():
+        for d in r["draws"]:
+            plan[r["doc_id"], texts[r["doc_id"], r["source"], r["text_hash"]], r["source"], d["epoch"], d["shard"]] += 1
+    assert times == plan and len({s for *_, s in times}) > 1
+    assert out.select(F.spark_partition_id().alias("p"), "mix_shard").distinct().filter("p <> mix_shard").count() == 0
 
 
 # -- archives -------------------------------------------------------------------------------
