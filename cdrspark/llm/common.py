@@ -16,9 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cdrspark.operators.tables import discard, recorded, scratch, shared_path, written
 
-__all__ = ["discard", "from_texts", "give_back", "id_remainder", "mixed", "recorded", "remembered", "scratch", "shared_path", "slices", "written"]
+__all__ = ["discard", "from_texts", "give_back", "id_remainder", "mixed", "recorded", "remembered", "scratch", "shared_path", "slices", "spread_join", "written"]
 
 
+#: Keys that are sent to every executor at most: those with the most rows.
+SENT_KEYS = 100_000
 #: Rows that Arrow moves at once at most: two workers and their executor hold a few such batches of long texts.
 BATCH_ROWS = 2000
 
@@ -28,6 +30,17 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with a table of different keys, whatever share of the rows has one key. Keys with more than total /
+    SENT_KEYS rows (in column size, which is dropped), SENT_KEYS at most, are sent to every executor; the others are joined by a shuffle in which none has more."""
+    least = total // SENT_KEYS + 1
+    rest, big = table.filter(F.col(size) <= least).drop(size), table.filter(F.col(size) > least).drop(size)
+    known = rows.join(F.broadcast(big), key)
+    if big.isEmpty():
+        return rows.join(rest, key)
+    return known.unionByName(rows.join(F.broadcast(big.select(key)), key, "left_anti").join(rest, key))
+
+
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     """64-bit integers to well-spread 64-bit integers, another family member for each seed."""
     step = np.uint64(((seed + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))

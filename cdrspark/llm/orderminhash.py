@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdrspark.llm.common import from_texts, give_back, mixed, remembered, scratch, written
+from cdrspark.llm.common import from_texts, give_back, mixed, remembered, scratch, spread_join, written
 from cdrspark.operators.graph import components
 
 SHINGLE, KEPT, SKETCHES = 5, 5, 28
@@ -47,8 +47,6 @@ SHORT_KEPT, SHORT_SKETCHES, SHORT_TO, LONG_FROM = 2, 12, 50, 40
 LARGE = 64
 #: Members of a large bucket that one task compares with all its others, about.
 PART = 4096
-#: Keys that are sent to every executor at most: those with the most rows.
-SENT_KEYS = 100_000
 #: Bins of the sketch that decides on alignment (a byte each), and by how many standard deviations it may fall short.
 BINS, DEVIATIONS = 128, 4.9
 WORD = re.compile(r"\w+")
@@ -196,17 +194,6 @@ def prepared(docs: DataFrame, keep: bool = False) -> DataFrame:
     return written(from_texts(own, made, start, keep=keep, memory="words").withColumn("uid", F.monotonically_increasing_id()), "omh")
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """rows joined with a table of different keys, whatever share of the rows has one key. Keys with more than total /
-    SENT_KEYS rows (in column size, which is dropped), SENT_KEYS at most, are sent to every executor; the others are joined by a shuffle in which none has more."""
-    least = total // SENT_KEYS + 1
-    rest, big = table.filter(F.col(size) <= least).drop(size), table.filter(F.col(size) > least).drop(size)
-    known = rows.join(F.broadcast(big), key)
-    if big.isEmpty():
-        return rows.join(rest, key)
-    return known.unionByName(rows.join(F.broadcast(big.select(key)), key, "left_anti").join(rest, key))
-
-
 def _agreeing(x: Column, y: Column) -> Column:
     """Equal bytes of two longs."""
     return _zeros(x.bitwiseXOR(y))

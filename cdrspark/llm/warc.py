@@ -1,6 +1,6 @@
 """Content-addressed WARC archive.
 
-An archive is two tables. ``payloads`` holds each distinct payload once under its SHA-256, and
+An archive is two tables. ``payloads`` holds each distinct payload once under its SHA-256, with its number of records, and
 ``headers`` holds the exact WARC and HTTP-free header block of every record together with the
 digest it points to. Original records are header block + payload, brought together by a join.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cdrspark.llm.common import shared_path
+from cdrspark.llm.common import shared_path, spread_join, written
 
 CRLF = b"\r\n"
 
@@ -79,31 +79,24 @@ def write_archive(pages: DataFrame, min_dedup_bytes: int = 0) -> Archive:
     """Write pages (page_id, url, html) as an archive in the shared folder.
 
     Payload bytes move once, to the task that owns their digest, after each map task has dropped
-    its own repeats. Equal digests are verified to mean equal bytes before a payload is stored.
+    its own repeats. Equal digests are verified to mean equal lengths and equal SHA-1 before a payload is stored.
     """
     spark = pages.sparkSession
     archive = Archive(shared_path(spark, "warc-payloads"), shared_path(spark, "warc-headers"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        F.monotonically_increasing_id().alias("row"),
-        payload.alias("payload"),
-    )
-    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    store = (
-        rows.groupBy("digest")
-        .agg(F.max("payload").alias("payload"), F.min("payload").alias("other"))
-        .withColumn("payload", F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))))
-        .drop("other")
-    )
-    store.write.option("compression", "zstd").parquet(archive.payloads)
-
-    # Only digests and ids from here on.
+    facts = [F.unhex(F.sha2(payload, 256)).alias("digest"), F.length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha1_hex")]
+    store = pages.select(*facts, payload.alias("payload")).groupBy("digest")
+    store = store.agg(F.any_value("payload").alias("payload"), F.count("*").alias("records"), *[f(F.struct("bytes", "sha1_hex")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    shown = F.when(F.col("lo") == F.col("hi"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256")))
+    store.select("digest", shown.alias("payload"), "records").write.option("compression", "zstd").parquet(archive.payloads)
+
+    # Only digests and ids from here on, with row numbers that are read again, not made again.
+    ids = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.monotonically_increasing_id().alias("row")]
+    narrow = written(pages.select(*ids, *facts), "warc-rows")
     order = F.struct(F.coalesce(F.col("page_id"), F.lit(-(2**63))).alias("k"), F.col("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("u"), F.col("row"))
-    narrow = rows.select("page_id", "url", "row", "digest", F.length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1_hex"))
-    keep = narrow.groupBy("digest").agg(F.max(order).alias("best")).select("digest", F.col("best.page_id").alias("best_id"), F.col("best.row").alias("best_row"))
-    joined = narrow.join(keep, "digest")
+    keep = narrow.groupBy("digest").agg(F.max(order).alias("best"), F.count("*").alias("records"))
+    keep = written(keep.select("digest", F.col("best.page_id").alias("best_id"), F.col("best.row").alias("best_row"), "records"), "warc-kept")
+    joined = spread_join(narrow, keep, "digest", "records", narrow.count())
     first = (F.col("row") == F.col("best_row")) | (F.col("bytes") < F.lit(min_dedup_bytes))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +117,7 @@ def write_archive(pages: DataFrame, min_dedup_bytes: int = 0) -> Archive:
 
 
 def _open(spark: SparkSession, archive: Archive) -> tuple[DataFrame, DataFrame]:
-    payloads = spark.read.schema("digest binary, payload binary").parquet(archive.payloads)
+    payloads = spark.read.schema("digest binary, payload binary, records long").parquet(archive.payloads)
     headers = spark.read.schema("digest binary, header binary").parquet(archive.headers)
     return payloads, headers
 
@@ -133,7 +126,7 @@ def records(spark: SparkSession, archive: Archive) -> DataFrame:
     """The original records: ``record`` has the exact bytes of each (header block, payload unless a
     revisit, two line ends) and ``payload`` the full payload, for revisits too."""
     payloads, headers = _open(spark, archive)
-    joined = headers.join(payloads, "digest")
+    joined = headers.join(payloads.drop("records"), "digest")
     body = F.when(F.contains(F.col("header"), F.lit(b"WARC-Type: revisit\r\n")), F.lit(b"")).otherwise(F.col("payload"))
     return joined.select("header", "payload", F.concat(F.col("header"), body, F.lit(CRLF + CRLF)).alias("record"))
 
@@ -149,7 +142,7 @@ def read_index(spark: SparkSession, archive: Archive) -> DataFrame:
             payload = b.column("payload").to_pylist()
             if any(hashlib.sha256(x).digest() != d for x, d in zip(payload, b.column("digest").to_pylist(), strict=True)):
                 raise ValueError("a stored payload does not have its digest")
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(x) for x in payload], pa.int64()), pa.array([base32_sha1(x) for x in payload], pa.string())], names=["digest", "payload_bytes", "payload_digest"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("records"), pa.array([len(x) for x in payload], pa.int64()), pa.array([base32_sha1(x) for x in payload], pa.string())], names=["digest", "records", "payload_bytes", "payload_digest"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,8 +157,8 @@ def read_index(spark: SparkSession, archive: Archive) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], names=schema.fieldNames())
 
     schema = T.StructType.fromDDL("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_bytes long")
-    known = payloads.mapInArrow(facts, "digest binary, payload_bytes long, payload_digest string")
-    return headers.join(known, "digest").drop("digest").mapInArrow(index, schema)
+    known = written(payloads.mapInArrow(facts, "digest binary, records long, payload_bytes long, payload_digest string"), "warc-known")
+    return spread_join(headers, known, "digest", "records", headers.count()).drop("digest").mapInArrow(index, schema)
 
 
 def op6_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:

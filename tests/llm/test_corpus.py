@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cdrspark.llm import ann, linededup, mix, orderminhash, warc
+from cdrspark.llm import ann, common, linededup, mix, orderminhash, warc
 from tests.llm import odd
 
 # -- mixing ---------------------------------------------------------------------------------
@@ -443,7 +443,7 @@ def test_one_text_in_many_rows(spark):
     docs = [(i, t) for i, t in enumerate([" ".join(base[::-1])] * 100 + near + [" ".join(f"u{i}x{j}" for j in range(12)) for i in range(100)])]
     for keys in (1, 3, 100_000):
         with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(orderminhash, "SENT_KEYS", keys)
+            patch.setattr(common, "SENT_KEYS", keys)
             got = orderminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
             assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in got.collect()} == {i: (0, 100) if i < 100 else (100, 100) if i < 200 else (i, 1) for i, _ in docs}
 
