@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Each byte picks its gate inputs from a table, one GRU runs forwards and one backwards over windows of
-`WINDOW` bytes, and a softmax over both states labels every position; a document's
-probabilities are the mean over all its positions. The network is trained in numpy by backpropagation through
+Each byte picks its gate inputs from a table, one GRU runs forwards and one backwards, and a softmax over both states
+labels every position; a document's probabilities are the mean over all its positions. A document is scanned in windows
+of `WINDOW` bytes side by side; each scan begins `MARGIN` bytes before its window (or where the text begins or ends, with no
+state), so a position's states have read at least that many bytes on both sides. The network is trained in numpy by backpropagation through
 time on a bounded sample: `sample_docs` documents of each language, `sample_windows` windows of each.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every document if no
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cdrspark.llm.common import from_texts, id_remainder
 
-WINDOW = 128
+WINDOW, MARGIN = 128, 32
 #: Windows that run side by side: their states stay in a core's cache.
 TOGETHER = 1024
 UNKNOWN = "und"
@@ -45,8 +46,8 @@ class BiGru:
     def params(self) -> list[np.ndarray]:
         return [*self.inputs, *self.states, *self.labels, self.bias]
 
-    def scan(self, codes: np.ndarray, way: int) -> np.ndarray:
-        """States (T, H, B) of one direction over codes (T, B)."""
+    def scan(self, codes: np.ndarray, way: int, inside: np.ndarray | None = None) -> np.ndarray:
+        """States (T, H, B) of one direction over codes (T, B). Where inside (T, B) is 0 there is no text, and states are 0."""
         h_n, (steps, width) = self.hidden, codes.shape
         half = np.ones(3 * h_n, np.float32)
         half[: 2 * h_n] = 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
@@ -67,13 +68,15 @@ class BiGru:
             h -= n
             h *= gates[h_n:]
             h += n
+            if inside is not None:
+                h *= inside[t]
             out[t] = h
         return out
 
-    def positions(self, codes: np.ndarray) -> np.ndarray:
-        """Label probabilities (T, C, B) of every position."""
-        logits = self.labels[0] @ self.scan(codes, 0)
-        logits += self.labels[1] @ self.scan(codes, 1)
+    def positions(self, codes: np.ndarray, inside: np.ndarray | None = None, core: slice = slice(None)) -> np.ndarray:
+        """Label probabilities (T, C, B) of every position of the core."""
+        logits = self.labels[0] @ self.scan(codes, 0, inside)[core]
+        logits += self.labels[1] @ self.scan(codes, 1, inside)[core]
         logits += self.bias
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
@@ -85,18 +88,21 @@ class BiGru:
         sizes = np.array([len(t) for t in texts], np.int64)
         windows = -(-sizes // WINDOW)
         owner = np.repeat(np.arange(len(texts)), windows)
-        padded = np.frombuffer(b"".join(t.ljust(int(w) * WINDOW, b"\0") for t, w in zip(texts, windows, strict=True)), np.uint8).reshape(-1, WINDOW)
-        first = np.cumsum(windows) - windows
-        used = np.minimum(sizes[owner] - (np.arange(len(owner)) - first[owner]) * WINDOW, WINDOW)
+        # Texts lie behind each other, whole windows each, with room for the margins.
+        room = windows * WINDOW + 2 * MARGIN
+        start = np.cumsum(room) - room + MARGIN
+        data = np.zeros(int(room.sum()), np.uint8)
+        for t, s in zip(texts, start.tolist(), strict=True):
+            data[s : s + len(t)] = np.frombuffer(t, np.uint8)
+        at = start[owner] + (np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]) * WINDOW
         total = np.zeros((len(texts), len(self.languages)))
-        for at in range(0, len(owner), TOGETHER):
-            part = slice(at, at + TOGETHER)
-            p = self.positions(np.ascontiguousarray(padded[part].T))
-            # Positions behind a text's end don't count (the forward state has not seen them, the backward one starts there).
-            short = np.flatnonzero(used[part] < WINDOW)
-            for b in short.tolist():
-                p[used[part][b] :, :, b] = 0
-            np.add.at(total, owner[part], p.sum(axis=0).T)
+        step, core = np.arange(-MARGIN, WINDOW + MARGIN)[:, None], slice(MARGIN, MARGIN + WINDOW)
+        for lo in range(0, len(owner), TOGETHER):
+            own = owner[lo : lo + TOGETHER]
+            place = at[lo : lo + TOGETHER] + step
+            inside = (place >= start[own]) & (place < (start + sizes)[own])
+            p = self.positions(data[place], inside.astype(np.float32), core)
+            np.add.at(total, own, np.einsum("tcb,tb->bc", p, inside[core].astype(np.float32)))
         return total / np.maximum(sizes, 1)[:, None]
 
 
@@ -175,7 +181,8 @@ def train(rows: list[tuple[str, str]], hidden: int = 12, steps: int = 260, width
     if not languages:
         return None
     net = fresh(languages, hidden, seed)
-    of = [[t.encode("utf-8")[:WINDOW] for t, lang in rows if lang == x] for x in languages]
+    # A window of characters is one window of bytes or, of other letters than Latin ones, several.
+    of = [[raw[i : i + WINDOW] for t, lang in rows if lang == x for raw in [t.encode("utf-8")] for i in range(0, max(1, len(raw)), WINDOW)] for x in languages]
     codes = [np.frombuffer(b"".join(t.ljust(WINDOW, b"\0") for t in ts), np.uint8).reshape(-1, WINDOW) for ts in of]
     used = [np.array([len(t) for t in ts], np.int64) for ts in of]
     rng, params = np.random.default_rng(seed), net.params()

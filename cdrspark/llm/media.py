@@ -10,7 +10,8 @@ The corpus side stores a payload losslessly as the samples of such a file: grey
 24-bit BMP, chosen by the payload's CRC, so both decoders run.
 
 Defined results: a null text is the empty text, whose payload is 192 spaces; equal texts have equal
-files and features; any text length works (a file's rows grow, memory is a small multiple of one text); files
+files and features; any text length works (a file's rows grow; of the summed-area table only BAND_ROWS rows are held at a time, so
+memory is the payload, the file, its decoded copy and a band); files
 that cannot be decoded raise ValueError in ``decode`` and give null columns in ``tiles``.
 """
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from cdrspark.llm.common import from_texts, slices, written
 
 UNIT = 192
+#: Rows of a picture whose summed-area table is held at once.
+BAND_ROWS = 4096
 TOKEN = re.compile(rb"(?:[ \t\r\n\x0b\x0c]|#[^\r\n]*[\r\n])*([^ \t\r\n\x0b\x0c#]+)")
 
 # -- decoding -------------------------------------------------------------------------------
@@ -129,25 +132,33 @@ def npy(tile: np.ndarray) -> bytes:
 # -- features -------------------------------------------------------------------------------
 
 
-def _edges(sums: np.ndarray, n: int, axis: int) -> np.ndarray:
-    """The summed-area table at n + 1 evenly spaced positions along an axis, between samples linearly."""
-    size = sums.shape[axis] - 1
-    at = np.arange(n + 1) * size / n
-    low = np.minimum(at.astype(np.int64), size - 1 if size else 0)
+def _between(sums: np.ndarray, at: np.ndarray, axis: int) -> np.ndarray:
+    """A summed-area table at positions along an axis, between samples linearly."""
+    low = np.minimum(at.astype(np.int64), sums.shape[axis] - 2)
     part = (at - low).reshape([-1 if a == axis else 1 for a in range(sums.ndim)])
     below, above = np.take(sums, low, axis), np.take(sums, low + 1, axis)
     return below + (above - below) * part
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The mean of the area under each output pixel (float64), by one summed-area table."""
-    sums = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1, *pixels.shape[2:]), np.float64)
-    np.cumsum(pixels, axis=0, dtype=np.float64, out=sums[1:, 1:])
-    np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
-    # Rows first: only height + 1 rows of the table are interpolated along the width.
-    corners = _edges(_edges(sums, height, 0), width, 1)
+    """The mean of the area under each output pixel (float64), by a summed-area table that is made band by band: of a band only
+    its last row, where the next one goes on, and the table at the output's rows and columns are kept."""
+    rows, columns = pixels.shape[:2]
+    at = np.arange(height + 1) * rows / height
+    corners = np.zeros((height + 1, width + 1, *pixels.shape[2:]))
+    last = np.zeros((columns + 1, *pixels.shape[2:]))
+    for lo in range(0, rows, BAND_ROWS):
+        band = pixels[lo : lo + BAND_ROWS]
+        sums = np.zeros((len(band) + 1, columns + 1, *pixels.shape[2:]))
+        np.cumsum(band, axis=0, dtype=np.float64, out=sums[1:, 1:])
+        np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
+        sums += last
+        inside = (at >= lo) & (at <= lo + len(band))
+        if inside.any():
+            corners[inside] = _between(_between(sums, at[inside] - lo, 0), np.arange(width + 1) * columns / width, 1)
+        last = sums[-1].copy()
     total = np.diff(np.diff(corners, axis=0), axis=1)
-    return total * (height * width / (pixels.shape[0] * pixels.shape[1]))
+    return total * (height * width / (rows * columns))
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:

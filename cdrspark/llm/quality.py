@@ -59,7 +59,9 @@ def statistics(text: str | None) -> list[float]:
     lines = text.split("\n")
     ids = {w: i for i, w in enumerate(tally)}
     seq = np.fromiter((ids[w] for w in words), np.int64, len(words))
-    triples = seq[:-2] * len(ids) * len(ids) + seq[1:-1] * len(ids) + seq[2:] if len(seq) > 2 else seq[:0]
+    # Pairs are numbered first: a number of a pair and a word never leaves 64 bits.
+    pairs = np.unique(seq[:-1] * len(ids) + seq[1:], return_inverse=True)[1]
+    triples = pairs[:-1] * len(ids) + seq[2:] if len(seq) > 2 else seq[:0]
     return [
         math.log1p(len(words)),
         math.log1p(float(lengths.mean())),

@@ -112,6 +112,22 @@ def test_area_resize_is_the_mean_of_areas():
         assert np.allclose(media.area_resize(a, h, w), want)
 
 
+def test_resize_and_hash_by_bands(monkeypatch):
+    """Bands of any height give one result; hashes are comparisons of plain means of areas."""
+    rng = np.random.default_rng(2)
+    for shape in ((16, 18), (23, 40, 3), (8, 9), (3, 5), (1, 64), (200, 64, 3)):
+        pixels = rng.integers(0, 256, shape).astype(np.uint8)
+        whole = media.area_resize(pixels, 8, 9)
+        for rows in (1, 3, 7):
+            monkeypatch.setattr(media, "BAND_ROWS", rows)
+            assert np.allclose(media.area_resize(pixels, 8, 9), whole, rtol=1e-10)
+        monkeypatch.setattr(media, "BAND_ROWS", 4096)
+        fine = np.repeat(np.repeat(media.grey(pixels), 8, axis=0), 9, axis=1)  # every output pixel covers whole fine ones
+        small = fine.reshape(8, shape[0], 9, shape[1]).mean(axis=(1, 3)).round(6)
+        bits = [small[y, x + 1] > small[y, x] for y in range(8) for x in range(8)]
+        assert media.difference_hash(pixels) == sum(int(b) << (63 - i) for i, b in enumerate(bits))
+
+
 def test_tiles_of_undecodable_files(spark):
     files = spark.createDataFrame([(1, bytearray(media.encode_netpbm(np.eye(9, dtype=np.uint8) * 255))), (2, bytearray(b"junk")), (3, None)], "id int, media binary")
     got = {r["id"]: r for r in media.tiles(files).collect()}
@@ -306,13 +322,44 @@ def test_languages(spark):
     assert langid.identify(odd.empty(spark), net).count() == 0
 
 
-def test_windows_do_not_depend_on_neighbours():
+def whole_scan(net, text):
+    """Probabilities of one document by plain recurrences over all its bytes."""
+    h_n, states = net.hidden, []
+    for way in (0, 1):
+        h, out = np.zeros(h_n), []
+        for byte in text if way == 0 else reversed(text):
+            x, g = net.inputs[way][byte].astype(float), net.states[way].astype(float) @ h
+            r, z = (1 / (1 + np.exp(-(x[i * h_n : (i + 1) * h_n] + g[i * h_n : (i + 1) * h_n]))) for i in (0, 1))
+            n = np.tanh(x[2 * h_n :] + r * g[2 * h_n :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        states.append(out if way == 0 else out[::-1])
+    total = np.zeros(len(net.languages))
+    for f, b in zip(*states, strict=True):
+        e = np.exp(net.labels[0] @ f + net.labels[1] @ b + net.bias[:, 0])
+        total += e / e.sum()
+    return total / max(1, len(text))
+
+
+def test_documents_equal_whole_scans(spark):
+    """Whatever the windows: exact for texts that margins cover, nearly so for longer ones of a trained network."""
     net = langid.fresh(["a", "b", "c"], 5, 3)
-    texts = [b"x", b"some text " * 40, b"", b"y" * 128, b"z" * 129]
+    texts = [b"x", b"some text " * 40, b"", b"y" * 128, b"z" * 129, b"abc de " * 21, b"q" * 160]
     together = net.documents(texts)
     for t, p in zip(texts, together, strict=True):
-        assert np.allclose(net.documents([t])[0], p)
+        assert np.allclose(net.documents([t])[0], p, atol=1e-6)
         assert not t or abs(p.sum() - 1) < 1e-5
+        if len(t) <= langid.WINDOW + langid.MARGIN:
+            assert np.allclose(whole_scan(net, t), p, atol=1e-4)
+    trained = langid.train(langid.sample(odd.table(spark)), steps=120)
+    for r in odd.rows()[::7]:
+        text = (r[1] or "").encode()[:3000]
+        assert np.allclose(whole_scan(trained, text), trained.documents([text])[0], atol=5e-3)
+
+
+def test_training_windows_keep_all_bytes():
+    net = langid.train([("ж" * 128, "ru"), ("a" * 128, "en")] * 20, steps=40)
+    assert net.languages == ["en", "ru"] and net.documents(["жжж".encode(), b"aaa"]).argmax(axis=1).tolist() == [1, 0]
 
 
 def test_language_accuracy_on_held_out_documents(spark):
@@ -327,6 +374,55 @@ def test_language_accuracy_on_held_out_documents(spark):
 # -- quality --------------------------------------------------------------------------------
 
 
+def plain_statistics(text):
+    """The statistics by counting characters and words one by one."""
+    text = text or ""
+    words, lines = text.split(), text.split("\n")
+    n, chars = max(1, len(words)), max(1, len(text))
+    raw = text.encode()
+    lengths = [len(w) for w in words] or [0]
+    mean = sum(lengths) / len(lengths)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths))
+    upper = sum(65 <= c <= 90 for c in raw)
+    latin = sum(a == 0xC3 and 0x80 <= b <= 0x9E for a, b in zip(raw, raw[1:], strict=False))
+    letters = upper + sum(97 <= c <= 122 for c in raw) + (sum(c >= 128 for c in raw) + 1) // 2
+    rest = sum(33 <= c <= 126 and not chr(c).isalnum() and c not in (44, 46) for c in raw)
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+
+    def logit(part, whole, usual, weight):
+        share = min(max((part + usual * weight) / (whole + weight), 0), 1) * 0.998 + 0.001
+        return math.log(share / (1 - share))
+
+    return [
+        math.log1p(len(words)), math.log1p(mean), math.log1p(spread), logit(upper + latin, letters, 0.03, 60), logit(letters, chars, 0.8, 60),
+        logit(sum(48 <= c <= 57 for c in raw), chars, 0.002, 120), logit(text.count(".") + text.count(","), n, 0.15, 10), logit(text.count("!"), n, 0, 10),
+        logit(text.count("|"), n, 0, 10), logit(rest, chars, 0.002, 120), math.log1p(len(words) / len(lines)), logit(len(set(words)), n, 0.8, 20),
+        logit(max(Counter(words).values(), default=0), n, 0.05, 20), logit(sum(a == b for a, b in zip(words, words[1:], strict=False)), n, 0.005, 20),
+        logit(len(triples) - len(set(triples)), len(triples), 0.01, 20), logit(len(lines) - len(set(lines)), len(lines), 0.02, 5),
+    ]
+
+
+def test_statistics_equal_plain_counts(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab cC.,!|9\n é ÀÿЖ日#") for _ in range(rng.randrange(120))) for _ in range(300)]
+    texts += [" ".join(rng.choice(("a", "b", "the")) for _ in range(50)), None, "", "one", *[r[1] for r in odd.rows()]]
+    for t in texts:
+        assert np.allclose(quality.statistics(t), plain_statistics(t), rtol=1e-12), repr(t)
+
+
+def test_labels_that_train(spark):
+    """Null labels and others than 0 and 1 are left out, several labels of a document count once each."""
+    table = quality.vectors(spark.createDataFrame([(i, f"text {i} " * (1 + i % 5)) for i in range(40)], "doc_id long, text string"))
+    good = [(i, i % 2) for i in range(40)] + [(3, 0)]
+    made = lambda rows: quality.train(table.join(spark.createDataFrame(rows, "doc_id long, label int"), "doc_id"))
+    a, b = made(good), made([*good, (1, None), (2, 7), (5, -1)])
+    x = np.array([r["stats"] for r in table.collect()])
+    assert np.allclose(a.scores(x), b.scores(x)) and not np.allclose(a.scores(x), made(good[:-1]).scores(x))
+    ids = [r["doc_id"] for r in table.collect()]
+    counts = [np.array([x[ids.index(i)] for i, lab in good if lab == k]) for k in (0, 1)]
+    assert np.allclose(quality.fit({k: quality.moments(v) for k, v in enumerate(counts)}).scores(x), a.scores(x))
+
+
 def test_quality_table(spark):
     docs = odd.table(spark).withColumn("stats", F.lit("clash")).withColumn("score", F.lit(3))
     table = quality.vectors(docs)
