@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdrspark.llm.common import from_texts, written
+from cdrspark.llm.common import from_texts, spread_join, written
 
 #: Lines that are sent to every executor at most (about 80 bytes each); beyond, lines and documents are joined by shuffles.
 SENT_LINES = 100_000
@@ -39,21 +39,21 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 10, near: float = 0.2, lg_k: int = 12) -> DataFrame:
-    """The lines that are on min_sites sites or more: h, and dk and pos of the occurrence that stays.
+    """The lines that are on min_sites sites or more: h, dk and pos of the occurrence that stays, and n, the occurrences.
 
     A sketch of 2**12 registers errs by 1.6 % (one standard deviation), so `near` is 12 of them.
     """
     lines = _lines(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dk", "pos")).alias("first")
-    spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), first)
+    spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), first, F.count("*").alias("n"))
     spread = written(spread.filter(F.col("sites") >= min_sites * (1 - near)), "line-spread")
     sure = spread.filter(F.col("sites") > min_sites * (1 + near))
     close = spread.filter(F.col("sites") <= min_sites * (1 + near))
     # Exact counts from distinct (line, site) pairs: however frequent the line, a task sees each pair once from every other task.
-    pairs = lines.select("h", "site").join(close.select("h"), "h", "left_semi").distinct()
+    pairs = spread_join(lines.select("h", "site"), close.select("h", "n"), "h", "n", close.agg(F.sum("n")).first()[0] or 0).distinct()
     exact = pairs.groupBy("h").agg(F.count("*").alias("exact")).filter(F.col("exact") >= min_sites)
     kept = sure.unionByName(close.join(exact.select("h"), "h", "left_semi"))
-    return written(kept.select("h", F.col("first.dk").alias("dk"), F.col("first.pos").alias("pos")), "boilerplate")
+    return written(kept.select("h", F.col("first.dk").alias("dk"), F.col("first.pos").alias("pos"), "n"), "boilerplate")
 
 
 def drop_lines(docs: DataFrame, lines: DataFrame, sent_lines: int = SENT_LINES) -> DataFrame:
@@ -101,8 +101,8 @@ def _drop_sent(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def _drop_joined(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """The same by joins on the line hash and the document key, for any number of lines."""
     found = _lines(docs.select("doc_id", F.lit(None).cast("string").alias("source"), "text"))
-    stays = lines.select("h", F.col("dk").alias("stay_dk"), F.col("pos").alias("stay_pos"))
-    gone = found.join(stays, "h").filter((F.col("dk") != F.col("stay_dk")) | (F.col("pos") != F.col("stay_pos")))
+    stays = lines.select("h", F.col("dk").alias("stay_dk"), F.col("pos").alias("stay_pos"), "n")
+    gone = spread_join(found, stays, "h", "n", lines.agg(F.sum("n")).first()[0] or 0).filter((F.col("dk") != F.col("stay_dk")) | (F.col("pos") != F.col("stay_pos")))
     gone = gone.groupBy("dk").agg(F.collect_set("pos").alias("line_dedup_gone"))
     both = docs.join(gone, F.col("line_dedup_key") == F.col("dk"), "left").drop("dk")
     every, out = F.split("text", "\n"), F.coalesce(F.col("line_dedup_gone"), F.array().cast("array<int>"))

@@ -8,11 +8,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cdrspark.llm import ann, common, linededup, mix, orderminhash, warc
+from cdrspark.llm import ann, common, langid, linededup, mix, orderminhash, warc
+from cdrspark.sources.readers import exists
 from tests.llm import odd
 
 # -- mixing ---------------------------------------------------------------------------------
@@ -499,6 +502,18 @@ def test_lines(spark, sent):
     assert linededup.drop_lines(none, linededup.boilerplate(none), sent_lines=sent).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1000, 0])
+def test_long_and_frequent_lines(spark, monkeypatch, sent):
+    """Lines of a hundred thousand characters, with carriage returns, and one that is a third of all; few keys are sent."""
+    monkeypatch.setattr(common, "SENT_KEYS", 2)
+    rng, long = random.Random(4), "x y " * 25_000
+    pool = ["often"] * 6 + [long, long + "z", "cr\r", "cr", "tab\t", *[f"rare {i}" for i in range(9)]]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(4)), None, f"s{i % 5}", 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, odd.SCHEMA).repartition(3)
+    got = linededup.drop_lines(docs, linededup.boilerplate(docs, min_sites=4), sent_lines=sent)
+    assert Counter((r["doc_id"], r["text"], r["n_lines"]) for r in got.collect()) == lines_brute(rows, 4)
+
+
 # -- pipeline -------------------------------------------------------------------------------
 
 
@@ -527,3 +542,74 @@ def test_near_copy_stage_equals_brute_force(spark):
     left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, odd.SCHEMA), "").collect()
     want = {c for _, c in near_brute([d[:2] for d in docs])}
     assert {r["doc_id"] for r in left} == want
+
+
+def test_language_stage_equals_one_by_one(spark):
+    docs = odd.table(spark)
+    left = corpus_pipeline.identify_language(spark, docs, "").collect()
+    net = langid.train(langid.sample(docs.filter(common.id_remainder(F.col("doc_id"), 3) != 1)))
+    want = Counter()
+    for d, t, _, source, n in odd.rows():
+        if any(map(str.isalpha, t or "")):
+            p = net.documents([t.encode()])[0]
+            if p.max() >= 1 / 3:
+                want[d, t, net.languages[int(p.argmax())], source, n] += 1
+    assert Counter(tuple(r) for r in left) == want
+
+
+def test_line_stage_equals_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["Terms of use", "All rights reserved", "Share this", *[f"text {i}" for i in range(200)]]
+    rows = [(i, "\n".join(rng.choice(pool[:3] if rng.random() < 0.3 else pool) for _ in range(rng.randint(1, 6))), "en", f"s{i % 14}", None) for i in range(200)]
+    left = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, odd.SCHEMA).repartition(3), "").collect()
+    want = Counter()
+    for (d, kept, total), (_, t, *_) in zip(sorted(lines_brute(rows, 10).elements()), rows, strict=True):
+        gone = t.count("\n") - (kept.count("\n") if kept else -1)
+        if not gone or gone < total:
+            want[d, kept, len(kept) if gone else None] += 1
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in left) == want
+
+
+def test_mix_stage_equals_plain_computation(spark):
+    docs = odd.table(spark)
+    want, _ = plainly(spark, docs, mix.SHARD_WORDS, mix.BLOCK_WORDS)
+    left = corpus_pipeline.mix_sources(spark, docs, "")
+    times = Counter((r["doc_id"], r["source"], r["th"]) for r in left.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).collect())
+    expected = Counter()
+    for (d, source, th, draws), n in want.items():
+        expected[d, source, th] += n * len(draws)
+    assert times == +expected
+
+
+def test_encode_stage_equals_library(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    rows = odd.rows()
+    left = corpus_pipeline.encode(spark, odd.table(spark), "").collect()
+    want = Counter()
+    for d, t, lang, source, _ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[d, source, lang, tuple(ids), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["source"], r["lang"], tuple(r["ids"]), r["decoded_sha256"]) for r in left) == want
+
+
+def test_working_tables_go_with_their_run(spark):
+    """A stage's tables outlive other stages while its result is held or read, and go afterwards."""
+    docs = odd.table(spark)
+    held = corpus_pipeline.drop_near_copies(spark, docs, "")
+    corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert held.count() > 0
+    paths = [p for result, made in corpus_pipeline._LEFT.get() for p in made if result() is held]
+    del held
+    corpus_pipeline.identify_language(spark, docs, "")
+    assert paths and not any(exists(spark, p) for p in paths)
+
+
+def test_no_shared_folder_on_a_cluster(spark):
+    class Away:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_path(Away, "x")
