@@ -194,21 +194,6 @@ def prepared(docs: DataFrame, keep: bool = False) -> DataFrame:
     return written(from_texts(own, made, start, keep=keep, memory="words").withColumn("uid", F.monotonically_increasing_id()), "omh")
 
 
-def _agreeing(x: Column, y: Column) -> Column:
-    """Equal bytes of two longs."""
-    return _zeros(x.bitwiseXOR(y))
-
-
-def _alike(x: str, y: str, least: float) -> Column:
-    """Whether the bins of two texts allow a similarity of `least`: of the bins that are not empty in both as many agree as such
-    a pair has, less DEVIATIONS standard deviations and one."""
-    longs = BINS // 8
-    both_empty = sum((_zeros(F.col(x)[i].bitwiseOR(F.col(y)[i])) for i in range(longs)), F.lit(0))
-    equal = sum((_agreeing(F.col(x)[i], F.col(y)[i]) for i in range(longs)), F.lit(0))
-    used = F.lit(BINS) - both_empty
-    return equal - both_empty >= F.lit(least) * used - F.lit(DEVIATIONS * (least * (1 - least)) ** 0.5) * F.sqrt(used) - 1
-
-
 def _zeros(z: Column) -> Column:
     """Bytes of a long that are zero."""
     for k in (4, 2, 1):
@@ -216,6 +201,14 @@ def _zeros(z: Column) -> Column:
     return F.lit(8) - F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
 
+def _alike(x: str, y: str, least: float) -> Column:
+    """Whether the bins of two texts allow a similarity of `least`: of the bins that are not empty in both as many agree as such
+    a pair has, less DEVIATIONS standard deviations and one. Lambdas keep the generated code small."""
+    counted = F.zip_with(x, y, lambda a, b: F.struct(_zeros(a.bitwiseXOR(b)).alias("equal"), _zeros(a.bitwiseOR(b)).alias("empty")))
+    enough = lambda s: s["equal"] - s["empty"] >= F.lit(least) * (F.lit(BINS) - s["empty"]) - F.lit(DEVIATIONS * (least * (1 - least)) ** 0.5) * F.sqrt(F.lit(BINS) - s["empty"]) - 1
+    return F.aggregate(counted, F.struct(F.lit(0).alias("equal"), F.lit(0).alias("empty")), lambda s, c: F.struct((s["equal"] + c["equal"]).alias("equal"), (s["empty"] + c["empty"]).alias("empty")), enough)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """Of pairs (u, v) the links, written to the shared folder."""
     a = nodes.select(F.col("uid").alias("u"), F.col("n").alias("n_u"), F.col("bins").alias("bins_u"))
@@ -312,9 +305,10 @@ def _classes(table: DataFrame, least: float) -> DataFrame:
     # An original shares more sketches with its copies than they do with each other, so it heads its buckets.
     central = members.groupBy("uid").agg(F.sum("k").alias("central"))
     members = written(members.drop("k").join(central, "uid"), "omh-central")
-    heads = members.groupBy("b").agg(F.max(F.struct("central", (-F.col("uid")).alias("minus"))).alias("t")).select("b", (-F.col("t.minus")).alias("head"))
+    most_central = F.max(F.struct("central", (-F.col("uid")).alias("minus"))).alias("t")
+    heads = written(members.groupBy("b").agg(most_central).select("b", (-F.col("t.minus")).alias("head")), "omh-heads")
     first = members.join(heads, "b").filter(F.col("uid") != F.col("head"))
-    first = first.select(F.greatest("uid", "head").alias("u"), F.least("uid", "head").alias("v")).distinct()
+    first = written(first.select(F.greatest("uid", "head").alias("u"), F.least("uid", "head").alias("v")).distinct(), "omh-first")
     links = _verified(first, nodes, words, least)
     comp = components(links)
 
@@ -322,39 +316,24 @@ def _classes(table: DataFrame, least: float) -> DataFrame:
     def labelled_members() -> DataFrame:
         return members.join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
+    def more_linked(more: DataFrame) -> DataFrame:
+        return comp if more.isEmpty() else components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
+
     held = labelled_members()
     main = held.join(heads, "b").filter(F.col("uid") == F.col("head")).select("b", F.col("comp").alias("main")).distinct()
     outside = written(held.join(main, "b").filter(F.col("comp") != F.col("main")).select("b", "uid", "central"), "omh-outside")
-    seconds = outside.groupBy("b").agg(F.max(F.struct("central", (-F.col("uid")).alias("minus"))).alias("t")).select("b", (-F.col("t.minus")).alias("head2"))
-    second = outside.join(seconds, "b").filter(F.col("uid") != F.col("head2"))
-    second = second.select(F.greatest("uid", "head2").alias("u"), F.least("uid", "head2").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = _verified(second, nodes, words, least)
-    if not more.isEmpty():
-        comp = components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
-
-    # What is left: in buckets with several components, every member outside the head's against all others.
-    held = labelled_members()
-    mixed_up = held.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
-    sizes = held.join(mixed_up, "b", "left_semi").groupBy("b").agg(F.count("*").alias("k"))
-    held = written(held.join(sizes, "b").join(heads, "b").select("b", "uid", "comp", "head", "k"), "omh-mixed")
-    main = held.filter(F.col("uid") == F.col("head")).select("b", F.col("comp").alias("main"))
-    info = nodes.select("uid", "n")
-    frequent, by_rare = _in_large_buckets(held.filter(F.col("k") > LARGE), info, words, least)
-    held = held.join(main, "b").join(nodes.select("uid", "n", "bins"), "uid").join(frequent, "uid", "left")
-    # In a large bucket a member without enough frequent shingles for any partner that its size allows has none that is left.
-    held = held.filter((F.col("k") <= LARGE) | (F.col("frequent") >= F.lit(least) * F.col("n") - F.lit(1e-6)))
-    parts = F.ceil(F.col("k") / PART).cast("int")
-    held = written(held.select("b", "uid", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "k", "n", "bins", "frequent", parts.alias("parts")), "omh-mixed")
-    x = held.filter(~F.col("is_main")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).alias("x")
-    y = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    once = F.col("y.is_main") | (F.col("x.uid") > F.col("y.uid"))
-    enough = (F.col("x.k") <= LARGE) | (_enough(F.least("x.frequent", "y.frequent"), F.col("x.n") + F.col("y.n"), least))
-    same = (F.col("x.b") == F.col("y.b")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp"))
-    third = x.join(y, same & once & enough & _sizes_fit("x.n", "y.n", least) & _alike("x.bins", "y.bins", least))
-    third = third.select(F.greatest("x.uid", "y.uid").alias("u"), F.least("x.uid", "y.uid").alias("v")).unionByName(by_rare).distinct()
-    more = _verified(third.join(first.unionByName(second), ["u", "v"], "left_anti"), nodes, words, least)
-    if not more.isEmpty():
-        comp = components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
+    if not outside.isEmpty():
+        seconds = outside.groupBy("b").agg(most_central).select("b", (-F.col("t.minus")).alias("head2"))
+        second = outside.join(seconds, "b").filter(F.col("uid") != F.col("head2"))
+        second = written(second.select(F.greatest("uid", "head2").alias("u"), F.least("uid", "head2").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "omh-second")
+        comp = more_linked(_verified(second, nodes, words, least))
+        # What is left: in buckets with several components, every member outside the head's against all others.
+        held = labelled_members()
+        mixed_up = held.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("b", "k")
+        held = written(held.join(mixed_up, "b").join(heads, "b").select("b", "uid", "comp", "head", "k"), "omh-mixed")
+        if not held.isEmpty():
+            third = written(_left_over(held, nodes, words, least).join(first.unionByName(second), ["u", "v"], "left_anti"), "omh-third")
+            comp = more_linked(_verified(third, nodes, words, least))
 
     # A row whose text occurs once is its own node; the others find theirs by the digest, of which one may have very many rows.
     placed = nodes.select("fp", "copies", F.col("uid").alias("node")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -365,6 +344,32 @@ def _classes(table: DataFrame, least: float) -> DataFrame:
     return alone.unionByName(spread_join(table.select("uid", "fp"), repeated, "fp", "copies", total).select("uid", "comp"))
 
 
+def _left_over(held: DataFrame, nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of different components in one bucket (held: b, uid, comp, head, k) of which one is outside the head's component,
+    and that can be links."""
+    main = held.filter(F.col("uid") == F.col("head")).select("b", F.col("comp").alias("main"))
+    large = held.filter(F.col("k") > LARGE)
+    known = held.join(main, "b").join(nodes.select("uid", "n", "bins"), "uid")
+    by_rare = None
+    if large.isEmpty():
+        known = known.withColumn("frequent", F.lit(None).cast("long"))
+    else:
+        frequent, by_rare = _in_large_buckets(large, nodes.select("uid", "n"), words, least)
+        known = known.join(frequent, "uid", "left")
+    # In a large bucket a member without enough frequent shingles for any partner that its size allows has none that is left.
+    known = known.filter((F.col("k") <= LARGE) | (F.col("frequent") >= F.lit(least) * F.col("n") - F.lit(1e-6)))
+    parts = F.ceil(F.col("k") / PART).cast("int")
+    known = written(known.select("b", "uid", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "k", "n", "bins", "frequent", parts.alias("parts")), "omh-known")
+    x = known.filter(~F.col("is_main")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).alias("x")
+    y = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    once = F.col("y.is_main") | (F.col("x.uid") > F.col("y.uid"))
+    enough = (F.col("x.k") <= LARGE) | (_enough(F.least("x.frequent", "y.frequent"), F.col("x.n") + F.col("y.n"), least))
+    same = (F.col("x.b") == F.col("y.b")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp"))
+    pairs = x.join(y, same & once & enough & _sizes_fit("x.n", "y.n", least) & _alike("x.bins", "y.bins", least))
+    pairs = pairs.select(F.greatest("x.uid", "y.uid").alias("u"), F.least("x.uid", "y.uid").alias("v"))
+    return (pairs.unionByName(by_rare) if by_rare is not None else pairs).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, keep: bool = False) -> DataFrame:
     """docs (without text unless keep), with class_id, class_size and stays (the first row of each class by doc_id, null last)."""
     names = [c for c in docs.columns if c not in ("class_id", "class_size", "stays") and (keep or c != "text")]

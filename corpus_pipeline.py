@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from contextvars import ContextVar
 from functools import wraps
-from weakref import ref
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -18,26 +17,27 @@ from cdrspark.llm import bpe, langid, linededup, mix, orderminhash
 from cdrspark.llm.common import discard, id_remainder, recorded, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Results of the stages of this thread, weakly held, and the working tables that they read.
-_LEFT: ContextVar[tuple[tuple[ref, list[str]], ...]] = ContextVar("left", default=())
+#: The stages of this thread whose working tables may still be read: their names and the tables.
+_LEFT: ContextVar[tuple[tuple[str, list[str]], ...]] = ContextVar("left", default=())
 
 
 def _stage(function):
-    """A stage whose working tables go once its result is no longer held and a later stage of the same thread gets documents
-    that don't read them. What is still read, or belongs to another thread, stays."""
+    """A stage whose working tables go when the same thread calls a later one with documents that don't read them: these have
+    been written since. A caller who keeps a result unwritten while later stages run on other documents uses another thread."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        order = [stage.__name__ for _, stage in STAGES]
         files = docs.inputFiles() if _LEFT.get() else []
         kept = []
-        for result, paths in _LEFT.get():
-            if result() is None and not any(path in file for file in files for path in paths):
+        for name, paths in _LEFT.get():
+            if order.index(name) < order.index(function.__name__) and not any(path in file for file in files for path in paths):
                 discard(spark, paths)
             else:
-                kept.append((result, paths))
+                kept.append((name, paths))
         with recorded() as made:
             out = function(spark, docs, sf_dir)
-        _LEFT.set((*kept, (ref(out), made)))
+        _LEFT.set((*kept, (function.__name__, made)))
         return out
 
     return run_stage

@@ -595,14 +595,15 @@ def test_encode_stage_equals_library(spark):
 
 
 def test_working_tables_go_with_their_run(spark):
-    """A stage's tables outlive other stages while its result is held or read, and go afterwards."""
+    """A stage's tables stay while an earlier stage runs, or a later one that reads them, and go with a later one that doesn't."""
     docs = odd.table(spark)
     held = corpus_pipeline.drop_near_copies(spark, docs, "")
-    corpus_pipeline.mix_sources(spark, docs, "").collect()
-    assert held.count() > 0
-    paths = [p for result, made in corpus_pipeline._LEFT.get() for p in made if result() is held]
-    del held
     corpus_pipeline.identify_language(spark, docs, "")
+    paths = next(made for name, made in corpus_pipeline._LEFT.get() if name == "drop_near_copies")
+    assert held.count() > 0
+    corpus_pipeline.mix_sources(spark, held, "").collect()
+    assert held.count() > 0
+    corpus_pipeline.encode(spark, docs, "")
     assert paths and not any(exists(spark, p) for p in paths)
 
 
