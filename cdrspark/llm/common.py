@@ -74,8 +74,11 @@ def give_back(memory: str = "") -> None:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most `most` bytes of a text or binary column (or one longer row); of other columns, whole."""
+    """The batch in pieces of at most `most` bytes of a text or binary column, or of the first one in a struct (or one longer
+    row); of other columns, whole."""
     values = batch.column(column)
+    if pa.types.is_struct(values.type):
+        values = values.flatten()[0]
     if not (pa.types.is_string(values.type) or pa.types.is_binary(values.type)):
         yield batch
         return
@@ -90,7 +93,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
 def from_texts(df: DataFrame, made: dict[str, str], start: Callable[[], Callable[[list], dict[str, list]]], column: str = "text", keep: bool = False, slice_bytes: int = 4_000_000, memory: str = "") -> DataFrame:
     """df with the columns `made` (name: type), which replace those of the same names, and without the
     text column unless `keep`. start() is called once a task and gives the function from a list of texts
-    to the lists of values; memory names what they remember. Other columns pass through as Arrow arrays and keep their exact values."""
+    to the lists of values; memory names what they remember. Arrow batches of the session get BATCH_ROWS rows at most: the setting is
+    read when the result runs, so it stays. Other columns pass through as Arrow arrays and keep their exact values."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -107,5 +111,10 @@ def from_texts(df: DataFrame, made: dict[str, str], start: Callable[[], Callable
             for piece in slices(batch, column, slice_bytes):
                 out = function(piece.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in names] + [pa.array(out[f.name], k) for f, k in zip(new, kinds, strict=True)], names=schema.fieldNames())
+                del out, piece
+            del batch
+        # The worker may stay idle beside stages that need the executor's memory.
+        del function
+        give_back(memory)
 
     return df.mapInArrow(run, schema)
