@@ -273,15 +273,14 @@ class Field:
 
 
 def _numbered() -> tuple[dict[str, np.ndarray], int]:
-    """For each table of a Field the numbers of its weights in one vector; tables of skip links are symmetric."""
+    """For each table of a Field the numbers of its weights in one vector; a table of skip links has two different ones."""
     unary = np.arange(len(FEATURES) * LABELS).reshape(len(FEATURES), LABELS)
     pattern = unary.size + np.arange(LABELS * LABELS).reshape(LABELS, LABELS)
     chain = pattern.max() + 1 + np.arange(LABELS * LABELS).reshape(LABELS, LABELS)
-    upper = np.zeros((LABELS, LABELS), np.int64)
-    upper[np.triu_indices(LABELS)] = np.arange(LABELS * (LABELS + 1) // 2)
-    upper = np.maximum(upper, upper.T)
-    equal = chain.max() + 1 + upper
-    similar = equal.max() + 1 + upper
+    # Links only tell agreement from difference: repeats of what nobody knows must not talk each other into a label.
+    agree = 1 - np.eye(LABELS, dtype=np.int64)
+    equal = chain.max() + 1 + agree
+    similar = equal.max() + 1 + agree
     return {"unary": unary, "pattern": pattern, "chain": chain, "equal": equal, "similar": similar}, int(similar.max()) + 1
 
 
