@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -201,3 +202,18 @@ def by_levels(s):
     n = len(s)
     bound = [min(j * s[n - j + k - 1] / k for k in range(1, j + 1)) for j in range(1, n + 1)]
     return np.array([max(min(bound[j - 1], j * x) for j in range(1, n + 1)) for x in s])
+
+
+def test_kmers_of_repeats(spark):
+    """Occurrences count each place, shares each sequence once."""
+    rows = spark.createDataFrame([("CARDCARDW",), ("AAAAAAA",), ("CARDW",), ("CAR",), (None,)], "cdr3_aa string")
+    found = {(r["k"], r["kmer"]): (r["count"], round(r["per_seq"] * 3), r["n_total"]) for r in kmers.background_frequencies(rows, (4, 5)).collect()}
+    assert found[4, "CARD"] == (3, 2, 3) and found[4, "AAAA"] == (4, 1, 3) and found[5, "AAAAA"] == (3, 1, 3) and found[5, "CARDW"] == (2, 2, 3)
+
+
+def test_adjusting_many_tests_in_one_part(spark):
+    """A frame up to the end of a part took time with the square of its rows: minutes for these."""
+    rows = spark.range(60_000).selectExpr("id", "(id * 7919 % 60000 + 1) / 60000.0D as p")
+    began = time.time()
+    (row,) = stats.adjusted(rows, "p", "BH", "adj", ["id"]).agg(F.min("adj"), F.max("adj"), F.count("*")).collect()
+    assert row[0] == pytest.approx(1.0) and row[2] == 60_000 and time.time() - began < 60
