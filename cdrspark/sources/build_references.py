@@ -28,7 +28,8 @@ def main(argv: list[str] | None = None) -> list[str]:
     out = []
     for species in a.species.split(","):
         units = a.units.replace("{species}", species) if a.units else None
-        sequences = R.cached_sequences(spark, a.cache, units, species, a.n, a.force)
+        # The number of sequences is --n alone: units are read whole.
+        sequences = R.cached_sequences(spark, a.cache, units, species, a.n, a.force, max_lines=None)
         out.append(R.save_reference(R.build_reference(sequences, epitopes, structures, species), a.out))
     return out
 

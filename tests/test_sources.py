@@ -2,6 +2,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cdrspark.operators import annotate
 from cdrspark.plans.pipeline import cluster_receptors
@@ -84,6 +85,22 @@ def test_reference_round_trip_and_command_line(spark, tmp_path):
         reference.load_reference(spark, str(tmp_path / "refs"), "human")
 
 
+def test_command_line_reads_units_whole(spark, tmp_path):
+    """More rows than UNIT_LINES in a unit, and a number of sequences above them all."""
+    with gzip.open(tmp_path / "u.csv.gz", "wt") as f:
+        f.write('"{""Run"": 1}"\nlocus,cdr3_aa,v_call,j_call\n' + "H,CARDW,IGHV1,IGHJ1\n" * (reference.UNIT_LINES + 50))
+    build_references.main(["--species", "mouse", "--n", "100000000", "--units", str(tmp_path / "u.csv.gz"), "--out", str(tmp_path / "refs"), "--cache", str(tmp_path / "cache")])
+    assert reference.load_reference(spark, str(tmp_path / "refs"), "mouse").kmer_freq.first()["n_total"] == reference.UNIT_LINES + 50
+
+
+@pytest.mark.parametrize("n", [1, 700, 3000, 5000])
+def test_samples_are_the_smallest_hashes(spark, n):
+    rows = reference.synthetic_sequences(spark, 3000)
+    value = F.xxhash64("cdr3_aa", F.lit(1))
+    found = reference._least_hashes(rows, value, n)
+    assert sorted(found.collect()) == sorted(rows.orderBy(value, "cdr3_aa").limit(n).collect())
+
+
 @pytest.mark.parametrize("chain", ["heavy", "both", "paired"])
 def test_pipeline(spark, chain):
     ref = reference.build_reference(reference.synthetic_sequences(spark, 3000))
