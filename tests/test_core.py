@@ -217,3 +217,24 @@ def test_adjusting_many_tests_in_one_part(spark):
     began = time.time()
     (row,) = stats.adjusted(rows, "p", "BH", "adj", ["id"]).agg(F.min("adj"), F.max("adj"), F.count("*")).collect()
     assert row[0] == pytest.approx(1.0) and row[2] == 60_000 and time.time() - began < 60
+
+
+def test_paired_edges_match_all_pairs(spark, monkeypatch):
+    """Many cells of few heavy CDR3s, in blocks of three."""
+    monkeypatch.setattr(simjoin, "BLOCK", 3)
+    rng, rows = random.Random(3), []
+    some = lambda n: "".join(rng.choice("ASTDENKRILVF") for _ in range(n))
+    heavies, lights = ["CA" + some(n) + "W" for n in (4, 4, 5, 5, 6)], ["C" + some(n) + "F" for n in (3, 3, 4, 4, 5)]
+    change = lambda s: s if rng.random() < 0.4 else (lambda i: s[:i] + rng.choice("ASTDEN") + s[i + 1 :])(rng.randrange(1, len(s) - 1))
+    for i in range(120):
+        for kind, pool in (("heavy", heavies), ("light", lights), *((("heavy", heavies),) if i % 20 == 0 else ())):
+            rows.append((f"c{i:03}", kind, change(rng.choice(pool)), len(rows)))
+    cells = [(h[3], g[3], h[0], h[2], g[2]) for h in rows for g in rows if h[0] == g[0] and h[1] == "heavy" and g[1] == "light"]
+    far = lambda a, b: costs.weighted(a, b) if len(a) == len(b) else costs.gapped(a, b)
+    expected = []
+    for a, b in itertools.combinations(sorted(cells), 2):
+        d = 0.7 * far(a[3], b[3]) + 0.3 * far(a[4], b[4])
+        if d <= 1.0:
+            expected.append((a[2], b[2], f"{a[3]}|{a[4]}", f"{b[3]}|{b[4]}", round(d, 9), "paired"))
+    found = simjoin.paired_edges(spark.createDataFrame(rows, "cell_id string, chain_type string, cdr3_aa string, ord long"), 1.0)
+    assert sorted((*r[:4], round(r[4], 9), r[5]) for r in found.collect()) == sorted(expected) and len(expected) > 100
