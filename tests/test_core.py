@@ -7,6 +7,7 @@ import time
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,25 @@ def test_tails_match_sums():
         assert math.isclose(stats.hypergeometric_tail(a, draws, good, total), want, rel_tol=1e-9)
 
 
+def test_equal_tests_are_summed_once(monkeypatch):
+    """Before, each of equal tests had a sum of its own."""
+    calls, tail = [], stats.binomial_tail
+    monkeypatch.setattr(stats, "binomial_tail", lambda *x: calls.append(x) or tail(*x))
+    rows = [(3, 50, 0.01), (4, 50, 0.01), (3, 50, 0.02)] * 300
+    found = stats.binomial_p.func(*map(pd.Series, zip(*rows, strict=True)))
+    assert len(calls) == 3 and found.tolist() == [tail(*r) for r in rows]
+
+
+@pytest.mark.parametrize("deal", [1, 4])
+def test_dealt_join_finds_the_same_edges(spark, deal):
+    rng = random.Random(8)
+    seqs = {"CARD" + "".join(rng.choice("ADE") for _ in range(6)) + "W" for _ in range(120)}
+    rows = spark.createDataFrame([(f"c{i}", "heavy", s, i) for i, s in enumerate(sorted(seqs))], "cell_id string, chain_type string, cdr3_aa string, ord long")
+    for scoring in ("hamming", "weighted"):
+        edges = [sorted(map(tuple, simjoin.global_edges(rows, scoring=scoring, deal=d).collect())) for d in (0, deal)]
+        assert edges[0] == edges[1] and len(edges[0]) > 100
+
+
 def test_hommel_by_closed_testing():
     rng = np.random.default_rng(2)
     for p in (rng.uniform(size=6) ** 2, rng.uniform(size=7) ** 6, np.round(rng.uniform(size=7), 1), np.zeros(3), np.array([0.03]), np.array([])):
